@@ -19,6 +19,7 @@ def local_session(cores: str = "8", app: str = "postwatch", memory: str = "12g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="postwatch-warehouse-"))
         .getOrCreate()
     )
