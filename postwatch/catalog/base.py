@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postwatch.functions import clock
 from postwatch.functions.words import read_word_block
+from postwatch.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The texts.  Work on them is heavy, so a small table is spread over the cores."""
+    texts = table(spark, sf_dir, "documents")
+    return tables.spread_small(texts.select(*columns) if columns else texts, "doc_id")
+
+
 def sql_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -64,9 +71,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     # Words of six letters or more with a capital stand for hashtags.
     tags = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0))
-    documents = table(spark, sf_dir, "documents")
+    texts = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     events = table(spark, sf_dir, "events")
-    return documents.join(events, documents["doc_id"] == events["event_id"]).select(
+    return texts.join(events, texts["doc_id"] == events["event_id"]).select(
         "doc_id",
         "ts",
         F.col("doc_id").cast("string").alias("id_str"),

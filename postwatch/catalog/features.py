@@ -33,7 +33,7 @@ def sql_vocabulary(table: str, num_words: int) -> str:
 
 @query("vocab_fit", sql_vocabulary("documents", 10000))
 def vocab_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.fit_vocabulary(B.table(spark, sf_dir, "documents"))
+    return features.fit_vocabulary(B.documents(spark, sf_dir))
 
 
 SEQUENCES = f"""WITH v AS ({sql_vocabulary("documents", 10000)}),
@@ -43,7 +43,7 @@ s AS (SELECT doc_id, pos, coalesce(idx, 1) AS idx FROM w LEFT JOIN v USING (word
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = B.table(spark, sf_dir, "documents")
+    documents = B.documents(spark, sf_dir)
     vocabulary = features.fit_vocabulary(documents)
     return features.texts_to_sequences(documents, ["doc_id"], vocabulary)
 
@@ -97,7 +97,7 @@ i AS (SELECT doc_id, coalesce(list(idx ORDER BY pos) FILTER (WHERE idx IS NOT NU
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = known_words(spark, sf_dir)
-    lowered = B.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    lowered = B.documents(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
     return features.sentence_to_indices(lowered, ["doc_id"], known, _unknown(known))
 
 
@@ -199,7 +199,7 @@ o AS (SELECT * FROM w WHERE word NOT IN (SELECT word FROM known))"""
 
 
 def _oov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = B.table(spark, sf_dir, "documents")
+    documents = B.documents(spark, sf_dir)
     return features.unknown_words(documents, "doc_id", known_words(spark, sf_dir))
 
 

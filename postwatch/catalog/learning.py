@@ -31,7 +31,7 @@ def _part(rows: DataFrame, name: str) -> DataFrame:
 def _labeled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text, label`` of the judged documents, split by position."""
     labels = B.table(spark, sf_dir, "labels")
-    rows = B.table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+    rows = B.documents(spark, sf_dir).join(labels, "doc_id").select(
         "doc_id", "text", F.col("quality").alias("label")
     )
     return keep(ordinal.split_positional(rows, "doc_id"), "labeled")
@@ -123,7 +123,7 @@ def score_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load, index and pad, split, store, train, report."""
     labels = B.table(spark, sf_dir, "labels")
-    labeled = B.table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+    labeled = B.documents(spark, sf_dir).join(labels, "doc_id").select(
         "doc_id", "text", F.col("quality").alias("label")
     )
     vocabulary = features.fit_vocabulary(labeled)

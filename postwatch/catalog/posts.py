@@ -23,7 +23,7 @@ HAS_TERM = " OR ".join(f"contains(lower(text), '{t}')" for t in B.TERMS)
 
 @query("term_substring_filter", f"SELECT doc_id, text FROM documents WHERE {HAS_TERM}")
 def term_substring_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = B.documents(spark, sf_dir).select("doc_id", "text")
     return documents.filter(X.contains_any(F.col("text"), B.TERMS))
 
 
@@ -104,7 +104,7 @@ FROM (SELECT doc_id, unnest({B.WORDS_OF.format("replace(text, 'ß', 'SS')")}) AS
 WHERE upper(word) NOT IN ({B.sql_list(B.STOP_WORDS)})""",
 )
 def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = B.table(spark, sf_dir, "documents")
+    documents = B.documents(spark, sf_dir)
     words = documents.select(
         "doc_id", F.explode(F.transform(X.tokenize(F.col("text")), F.upper)).alias("word")
     )
@@ -143,12 +143,9 @@ dim AS (SELECT keyword, row_number() OVER (ORDER BY keyword) AS id
 SELECT doc_id, id, keyword FROM k JOIN dim USING (keyword)""",
 )
 def dim_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = keep(
-        B.table(spark, sf_dir, "documents").select(
-            "doc_id", F.explode(X.keywords(F.col("text"), B.STOP_WORDS)).alias("keyword")
-        ),
-        "keywords",
-    )
+    texts = B.documents(spark, sf_dir, "doc_id", "text")
+    words = P.explode_keywords(texts, F.col("text"), B.STOP_WORDS).select("doc_id", "keyword")
+    rows = keep(words, "keywords")
     dimension = keep(features.term_dimension(rows, "keyword"), "dimension")
     bridge = features.term_bridge(rows, "doc_id", "keyword", dimension)
     return bridge.join(dimension, "id").select("doc_id", "id", "keyword")

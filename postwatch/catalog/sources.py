@@ -29,7 +29,7 @@ SELECT id_str AS "key", created_at, length(full_text) AS n_chars
 FROM posts WHERE n_chars > 140 ORDER BY ts, id_str LIMIT 200""",
 )
 def publish_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = B.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    texts = B.documents(spark, sf_dir).select("doc_id", "n_chars")
     # Short posts have no extended text.
     extended = F.when(F.col("n_chars") > 140, F.col("extended_tweet"))
     posts = B.posts(spark, sf_dir).join(texts, "doc_id").withColumn("extended_tweet", extended)
@@ -140,7 +140,7 @@ FROM documents d JOIN labels l USING (doc_id)""",
 )
 def labeled_csv_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = B.table(spark, sf_dir, "labels")
-    rows = B.table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+    rows = B.documents(spark, sf_dir).join(labels, "doc_id").select(
         X.blank(F.col("text"), "\n").alias("tweet"), (F.col("quality") + F.col("toxic")).alias("label")
     )
     folder = new_folder(spark, "labeled")
@@ -164,7 +164,7 @@ def delimiter_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jsonl_to_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "lines")
-    documents = B.table(spark, sf_dir, "documents")
+    documents = B.documents(spark, sf_dir)
     documents.select(F.col("doc_id").alias("id"), F.col("text").alias("full_text")).write.json(folder)
     return delimited.json_lines_to_delimited(spark, folder)
 

@@ -56,7 +56,7 @@ BY_LENGTH = sorted(CONTRACTIONS, key=len, reverse=True)
 FROM (SELECT doc_id, {B.WORDS_OF.format("text")} AS w FROM documents)""")
 def tokenize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = X.tokenize(F.col("text"))
-    return B.table(spark, sf_dir, "documents").select(
+    return B.documents(spark, sf_dir).select(
         "doc_id", F.size(words).alias("n_tokens"), F.array_join(words, " ").alias("words")
     )
 
@@ -68,7 +68,7 @@ SELECT doc_id, {sql_expand("t", IN_ORDER)} AS expanded FROM n""",
 )
 def expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lower(noisy(F.col("text")))
-    return B.table(spark, sf_dir, "documents").select(
+    return B.documents(spark, sf_dir).select(
         "doc_id", expand_contractions(text).alias("expanded")
     )
 
@@ -80,7 +80,7 @@ SELECT doc_id, {sql_expand("t", BY_LENGTH)} AS expanded FROM n""",
 )
 def expand_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lower(noisy(F.col("text")))
-    return B.table(spark, sf_dir, "documents").select(
+    return B.documents(spark, sf_dir).select(
         "doc_id", expand_contractions(text, longest_first=True).alias("expanded")
     )
 
@@ -95,7 +95,7 @@ c AS (SELECT doc_id, regexp_replace(translate({sql_expand("t", IN_ORDER)}, '{_PU
 
 @query("clean_text", f"{CLEANED}\nSELECT doc_id, cleaned FROM c")
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.table(spark, sf_dir, "documents").select(
+    return B.documents(spark, sf_dir).select(
         "doc_id", X.clean_text(noisy(F.col("text"))).alias("cleaned")
     )
 
@@ -106,7 +106,7 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER BY length(text) DESC, doc_id LIMIT 1""",
 )
 def longest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.longest_text(B.table(spark, sf_dir, "documents"), "doc_id")
+    return features.longest_text(B.documents(spark, sf_dir), "doc_id")
 
 
 @query(
@@ -115,7 +115,7 @@ def longest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT max(len({B.WORDS_OF.format("text")})) AS m FROM documents)""",
 )
 def max_len_even(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.max_tokens(B.table(spark, sf_dir, "documents"))
+    return features.max_tokens(B.documents(spark, sf_dir))
 
 
 @query(
@@ -123,7 +123,7 @@ def max_len_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT doc_id, CAST(len({B.WORDS_OF.format('text')}) AS INTEGER) AS n_tokens FROM documents",
 )
 def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.token_lengths(B.table(spark, sf_dir, "documents"), "doc_id")
+    return features.token_lengths(B.documents(spark, sf_dir), "doc_id")
 
 
 @query(
@@ -132,7 +132,7 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT len({B.WORDS_OF.format('text')}) AS n FROM documents)""",
 )
 def token_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = features.token_lengths(B.table(spark, sf_dir, "documents"), "doc_id")
+    lengths = features.token_lengths(B.documents(spark, sf_dir), "doc_id")
     return lengths.agg(
         F.count("*").alias("n_texts"),
         F.sum("n_tokens").alias("n_tokens"),

@@ -134,9 +134,9 @@ FROM ({B.sql_keywords("posts")}) GROUP BY ALL""",
 )
 def keyword_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which keywords were used how often in each window."""
-    words = X.keywords(F.col(P.FULL_TEXT), B.STOP_WORDS)
-    rows = B.posts(spark, sf_dir).select("ts", F.explode(words).alias("keyword_text"))
-    return _ended(rollup.counts(rows, "keyword_text"))
+    rows = B.posts(spark, sf_dir).select("ts", F.col(P.FULL_TEXT).alias("text"))
+    words = P.explode_keywords(rows, F.col("text"), B.STOP_WORDS, "keyword_text")
+    return _ended(rollup.counts(words, "keyword_text"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,7 +134,9 @@ def _pattern(longest_first: bool) -> str:
     names = list(CONTRACTIONS)
     if longest_first:
         names.sort(key=len, reverse=True)
-    return "|".join(names)
+    # Letters, then an apostrophe: looked for first, as few places have it.
+    letters = max(name.index("'") for name in names)
+    return f"(?=[a-z]{{0,{letters}}}')(?:{'|'.join(names)})"
 
 
 def expand_contractions(text: Column, longest_first: bool = False) -> Column:
@@ -144,9 +148,18 @@ def expand_contractions(text: Column, longest_first: bool = False) -> Column:
     """
     pattern = F.lit(_pattern(longest_first))
     table = F.create_map(*[F.lit(x) for pair in CONTRACTIONS.items() for x in pair])
-    between = F.split(text, pattern, -1)
-    expanded = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: table[m])
-    # There is one piece of text more than there are matches.
-    pieces = F.zip_with(between, expanded, lambda b, e: F.concat(b, F.coalesce(e, F.lit(""))))
-    # No entry lacks an apostrophe, so most texts skip the pattern.
-    return F.when(F.contains(text, F.lit("'")), F.array_join(pieces, "")).otherwise(text)
+
+    def expand(t: Column) -> Column:
+        between = F.split(t, pattern, -1)
+        expanded = F.transform(F.regexp_extract_all(t, pattern, F.lit(0)), lambda m: table[m])
+        # There is one piece of text more than there are matches.
+        pieces = F.zip_with(between, expanded, lambda b, e: F.concat(b, F.coalesce(e, F.lit(""))))
+        # No entry lacks an apostrophe, so most texts skip the pattern.
+        return F.when(F.contains(t, F.lit("'")), F.array_join(pieces, "")).otherwise(t)
+
+    return once(text, expand)
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]

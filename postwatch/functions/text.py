@@ -35,7 +35,8 @@ def tokenize(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove white space, Unicode included, at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    # A run that is not at the end is tried once, not from each of its characters.
+    return F.regexp_replace(text, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def blank(text: Column, characters: str) -> Column:
@@ -53,28 +54,32 @@ def clean_text(text: Column, longest_first: bool = False) -> Column:
     return strip(F.translate(out, PUNCTUATION, ""))
 
 
-def keyword_candidates(text: Column) -> Column:
-    """Upper-case words left by the keyword rules, before the stop words go."""
-    starts = KEYWORD_DROPPED_PREFIXES
+def is_keyword_token(token: Column) -> Column:
+    """Whether a white-space token may hold keywords."""
+    fits = (F.length(token) > 2) & ~F.endswith(token, F.lit(KEYWORD_DROPPED_SUFFIX))
+    for start in KEYWORD_DROPPED_PREFIXES:
+        fits = fits & ~F.startswith(token, F.lit(start))
+    return fits
 
-    def wanted(token: Column) -> Column:
-        fits = (F.length(token) > 2) & ~F.endswith(token, F.lit(KEYWORD_DROPPED_SUFFIX))
-        for start in starts:
-            fits = fits & ~F.startswith(token, F.lit(start))
-        return fits
 
-    kept = F.array_join(F.filter(F.split(text, SPACE + "+"), wanted), " ")
-    return F.filter(F.split(F.upper(blank(kept, KEYWORD_BLANKED)), SPACE + "+"), lambda w: w != "")
+def keyword_parts(token: Column) -> Column:
+    """Upper-case words of a token or of several with spaces between; some may be empty."""
+    return F.split(F.upper(blank(token, KEYWORD_BLANKED)), " ")
 
 
-def keywords(text: Column, stop_words: Sequence[str]) -> Column:
-    """Array of lower-case keywords, one entry per occurrence.
+def is_keyword(word: Column, stop_words: Sequence[str]) -> Column:
+    """Whether an upper-case word is one.
 
     The stop words are a bounded list, so they travel with the plan as a hash set.
     """
-    stops = list(stop_words)
-    kept = F.filter(keyword_candidates(text), lambda w: ~w.isin(stops))
-    return F.transform(kept, F.lower)
+    return (word != "") & ~word.isin(list(stop_words))
+
+
+def keywords(text: Column, stop_words: Sequence[str]) -> Column:
+    """Array of lower-case keywords, one entry per occurrence."""
+    kept = F.array_join(F.filter(tokenize(text), is_keyword_token), " ")
+    found = F.filter(keyword_parts(kept), lambda w: is_keyword(w, stop_words))
+    return F.transform(found, F.lower)
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:

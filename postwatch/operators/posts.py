@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions import text as X
@@ -86,13 +86,32 @@ def hashtag_rows(posts: DataFrame) -> DataFrame:
     )
 
 
+def explode_keywords(
+    rows: DataFrame, text: Column, stop_words: Sequence[str], name: str = "keyword"
+) -> DataFrame:
+    """One row per keyword occurrence in ``text``, with the columns of ``rows``.
+
+    The same as exploding ``text.keywords``; as rows instead of arrays, the rules run in compiled
+    code.  Columns dropped afterwards, such as the text, are not carried through the explodes.
+    """
+    carried = rows.columns
+    tokens = rows.select("*", F.explode(F.split(text, X.SPACE + "+")).alias("_token"))
+    words = tokens.filter(X.is_keyword_token(F.col("_token"))).select(
+        *carried, F.explode(X.keyword_parts(F.col("_token"))).alias("_word")
+    )
+    return words.filter(X.is_keyword(F.col("_word"), stop_words)).select(
+        *carried, F.lower("_word").alias(name)
+    )
+
+
 def keyword_rows(posts: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """One row per post and keyword occurrence, table ``tb_keyword``."""
-    return posts.select(
-        F.col("id_str").alias("id_tweet"),
-        F.explode(X.keywords(F.col(FULL_TEXT), stop_words)).alias("keyword"),
-        F.col("created_at").alias("timestamp"),
+    rows = posts.select(
+        F.col("id_str").alias("id_tweet"), F.col("created_at").alias("timestamp"),
+        F.col(FULL_TEXT).alias("_text"),
     )
+    words = explode_keywords(rows, F.col("_text"), stop_words)
+    return words.select("id_tweet", "keyword", "timestamp")
 
 
 def join_times(rows: DataFrame, posts: DataFrame) -> DataFrame:

@@ -63,3 +63,22 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
 def read_split(spark: SparkSession, path: str, name: str, split: str = "split") -> DataFrame:
     """One split of a stored data set; the others are not read."""
     return spark.read.parquet(path).filter(F.col(split) == name).drop(split)
+
+
+# Less than this per core is spread over all cores.
+SPREAD_BYTES = 64 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, *key: str) -> DataFrame:
+    """Spread a table that lies in a few small files over all cores, by the hash of its key.
+
+    One file of one block is read by one task, which then does all the work on its rows.  A table
+    of many files, or of much data, comes in many splits and is left as it is, without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return df.repartition(cores, *key) if size < cores * SPREAD_BYTES else df
