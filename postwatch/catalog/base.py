@@ -49,6 +49,10 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return tables.spread_small(texts.select(*columns) if columns else texts, "doc_id")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.spread_small(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
 def sql_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 

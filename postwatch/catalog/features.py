@@ -149,7 +149,7 @@ FROM i, l""",
 def pad_to_train_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = known_words(spark, sf_dir)
     length = features.padded_length(B.table(spark, sf_dir, "benchmark"))
-    turns = B.table(spark, sf_dir, "conversations").withColumn("text", F.lower("text"))
+    turns = B.conversations(spark, sf_dir).withColumn("text", F.lower("text"))
     padded = classify.padded_indices(turns, ["conv_id", "turn"], known, _unknown(known), length)
     return padded.withColumn("indices", B.joined("indices"))
 
@@ -170,9 +170,9 @@ GROUP BY t.conv_id, t.turn""",
 )
 def sentence_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrices of all turns; shown by their shape, their sum, and a sum weighted by place."""
-    turns = B.table(spark, sf_dir, "conversations").withColumn("text", F.lower("text"))
+    turns = B.conversations(spark, sf_dir).withColumn("text", F.lower("text"))
     # The most frequent words get the stored vectors.
-    vocabulary = features.fit_vocabulary(B.table(spark, sf_dir, "conversations"))
+    vocabulary = features.fit_vocabulary(B.conversations(spark, sf_dir))
     stored = vector_words(spark, sf_dir).drop("word")
     words = vocabulary.join(stored, vocabulary["idx"] - 2 == stored["vec_id"]).select("idx", "word", "vec")
     known = keep(features.with_special_rows(words, ["idx"], seed=None), "word_vectors")

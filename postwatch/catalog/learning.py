@@ -115,7 +115,7 @@ def score_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = classify.fit(
         _part(rows, "train"), classify.binary_regression(maxIter=10), classify.text_stages()
     )
-    turns = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    turns = B.conversations(spark, sf_dir).select("conv_id", "turn", "text")
     return classify.score_new(model, turns).drop("text")
 
 

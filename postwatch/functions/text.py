@@ -97,7 +97,11 @@ def matched_terms(text: Column, terms: Sequence[str]) -> Column:
     return F.array_intersect(wanted, F.transform(tokenize(text), F.lower))
 
 
+def tokenizer_parts(text: Column) -> Column:
+    """Lower-case pieces between separators and spaces; some are empty."""
+    return F.split(blank(F.lower(text), TOKENIZER_SEPARATORS), " ")
+
+
 def tokenizer_words(text: Column) -> Column:
     """Words of the bag-of-words tokenizer: lower case, split at separators and spaces."""
-    spaced = blank(F.lower(text), TOKENIZER_SEPARATORS)
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.filter(tokenizer_parts(text), lambda w: w != "")

@@ -28,7 +28,8 @@ def fit_vocabulary(texts: DataFrame, text: str = "text", num_words: int = NUM_WO
     Words are counted before the shuffle, and the ranking sees ``num_words`` rows.
     """
     counted = (
-        texts.select(F.explode(X.tokenizer_words(F.col(text))).alias("word"))
+        texts.select(F.explode(X.tokenizer_parts(F.col(text))).alias("word"))
+        .filter(F.col("word") != "")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -78,12 +79,18 @@ def _token_rows(texts: DataFrame, key: list[str], tokens) -> DataFrame:
 
 
 def _indices(rows: DataFrame, key: list[str], unknown: int) -> DataFrame:
-    """Put looked-up words back together in order, one array per text."""
-    pair = F.when(
-        F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(unknown)).alias("idx"))
-    )
+    """Put looked-up words back together in order, one array per text.
+
+    Place and index share one long number, place first: this is what is shuffled per word, and it
+    sorts as it is.
+    """
+    idx = F.coalesce("idx", F.lit(unknown)).cast("long")
+    packed = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(idx)
+    low = F.lit((1 << 32) - 1)
     return rows.groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["idx"]).alias("indices")
+        F.transform(
+            F.sort_array(F.collect_list(packed)), lambda p: p.bitwiseAND(low).cast("int")
+        ).alias("indices")
     )
 
 
@@ -146,7 +153,7 @@ def sentence_to_matrix(
     rows = _token_rows(texts, key, X.tokenize(F.col(text)))
     found = lookup_join(rows, index, "word", [*key, "pos"], "left", limit)
     pair = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("vec", unseen).alias("vec")))
-    matrix = F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["vec"])
+    matrix = F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["vec"])
     return found.groupBy(*key).agg(matrix.alias("matrix")).withColumn(
         "matrix", A.pad(F.col("matrix"), max_len, zeros)
     )
@@ -188,7 +195,7 @@ def unknown_words(texts: DataFrame, key: str, index: DataFrame, text: str = "tex
 
 def unknown_per_text(unknown: DataFrame, key: str) -> DataFrame:
     """Per text with unknown words: the words in order, and how many they are."""
-    words = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda p: p["word"])
+    words = F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda p: p["word"])
     return unknown.groupBy(key).agg(
         F.array_join(words, " ").alias("words"), F.count("*").alias("n_unknown")
     )
@@ -214,7 +221,9 @@ def term_dimension(rows: DataFrame, term: str) -> DataFrame:
 def term_bridge(
     rows: DataFrame, key: str, term: str, dimension: DataFrame, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """``(key, id)`` pairs, each once, that link rows to their terms."""
+    """``(key, id)`` pairs, each once, that link rows to their terms.
+
+    ``dimension`` should be a stored table, as its size is measured first.
+    """
     pairs = rows.select(key, term).distinct()
-    stored = keep(dimension, "dimension")
-    return lookup_join(pairs, stored, term, [key], "inner", limit).select(key, "id")
+    return lookup_join(pairs, dimension, term, [key], "inner", limit).select(key, "id")

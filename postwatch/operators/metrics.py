@@ -35,19 +35,19 @@ def confusion_matrix(
 
 
 def dense_matrix(matrix: DataFrame, classes: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """One row per true class, with a column ``pred_<class>`` for each class, zeros included."""
+    """One row per true class, with a column ``pred_<class>`` for each class, zeros included.
+
+    Each cell of the long matrix counts for its own class and as a zero for the others, so classes
+    without rows need no join.
+    """
+    label = F.explode(F.array(*[F.lit(c) for c in classes])).alias("label")
+    own = F.when(F.col("y_true") == F.col("label"), F.col("n")).otherwise(0)
+    spread = matrix.select("*", label).withColumn("n", own)
     cells = [
-        F.coalesce(F.sum(F.when(F.col("y_pred") == c, F.col("n"))), F.lit(0)).alias(f"pred_{c}")
+        F.sum(F.when(F.col("y_pred") == c, F.col("n")).otherwise(0)).alias(f"pred_{c}")
         for c in classes
     ]
-    labels = F.array(*[F.lit(c) for c in classes])
-    blank_row = matrix.agg(F.lit(1)).select(F.explode(labels).alias("y_true"))
-    if by:
-        blank_row = matrix.select(*by).distinct().select(*by, F.explode(labels).alias("y_true"))
-    empty = blank_row.withColumn("y_pred", F.lit(None).cast("int")).withColumn(
-        "n", F.lit(0).cast("long")
-    )
-    return matrix.unionByName(empty).groupBy(*by, "y_true").agg(*cells)
+    return spread.groupBy(*by, F.col("label").alias("y_true")).agg(*cells)
 
 
 def accuracy(

@@ -1,4 +1,7 @@
-"""Filters and flat tables over nested posts (``schemas.POST``)."""
+"""Filters and flat tables over nested posts (``schemas.POST``).
+
+The flat tables take the names of further columns of the posts to ``carry`` along.
+"""
 
 from __future__ import annotations
 
@@ -47,7 +50,9 @@ def flat_posts(posts: DataFrame) -> DataFrame:
     )
 
 
-def tagged_posts(posts: DataFrame, terms: Sequence[str]) -> DataFrame:
+def tagged_posts(
+    posts: DataFrame, terms: Sequence[str], carry: Sequence[str] = ()
+) -> DataFrame:
     """One row per post and matched term, table ``tb_tweet``.
 
     The text is stored with the characters blanked that were ignored in the search.
@@ -62,6 +67,7 @@ def tagged_posts(posts: DataFrame, terms: Sequence[str]) -> DataFrame:
         "favorited",
         F.col("in_reply_to_screen_name").alias("reply"),
         "retweeted",
+        *carry,
     )
 
 
@@ -74,7 +80,7 @@ def tagged_posts_by_union(posts: DataFrame, terms: Sequence[str]) -> DataFrame:
     return out
 
 
-def hashtag_rows(posts: DataFrame) -> DataFrame:
+def hashtag_rows(posts: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """One row per post and hashtag, table ``tb_hashtag``.
 
     The time goes along through the explode, so nothing is joined or shuffled.
@@ -83,6 +89,7 @@ def hashtag_rows(posts: DataFrame) -> DataFrame:
         F.col("id_str").alias("id_tweet"),
         F.explode(F.col(f"{HASHTAGS}.text")).alias("hashtag"),
         F.col("created_at").alias("timestamp"),
+        *carry,
     )
 
 
@@ -104,14 +111,16 @@ def explode_keywords(
     )
 
 
-def keyword_rows(posts: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+def keyword_rows(
+    posts: DataFrame, stop_words: Sequence[str], carry: Sequence[str] = ()
+) -> DataFrame:
     """One row per post and keyword occurrence, table ``tb_keyword``."""
     rows = posts.select(
         F.col("id_str").alias("id_tweet"), F.col("created_at").alias("timestamp"),
-        F.col(FULL_TEXT).alias("_text"),
+        F.col(FULL_TEXT).alias("_text"), *carry,
     )
     words = explode_keywords(rows, F.col("_text"), stop_words)
-    return words.select("id_tweet", "keyword", "timestamp")
+    return words.select("id_tweet", "keyword", "timestamp", *carry)
 
 
 def join_times(rows: DataFrame, posts: DataFrame) -> DataFrame:
@@ -129,7 +138,7 @@ def without_stop_words(words: DataFrame, stop_words: DataFrame, column: str = "w
     return words.join(stops, column, "left_anti")
 
 
-def user_rows(posts: DataFrame) -> DataFrame:
+def user_rows(posts: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """One user record per post, table ``tb_user``; the location is still the user's own text."""
     return posts.select(
         F.col("id_str").alias("id_tweet"),
@@ -140,4 +149,5 @@ def user_rows(posts: DataFrame) -> DataFrame:
         F.col("user.lang").alias("lang"),
         F.col("user.location").alias("location"),
         F.col("created_at").alias("timestamp"),
+        *carry,
     )

@@ -6,7 +6,7 @@ The hash aggregation counts before the shuffle, so a hot term or user costs one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwatch.functions import clock
@@ -30,12 +30,18 @@ def counts(
 
 
 def zero_filled(counted: DataFrame, n: str = "tcount") -> DataFrame:
-    """Counts per window, with a 0 for each window without rows between the first and the last."""
-    ends = counted.agg(F.min("window_end").alias("a"), F.max("window_end").alias("b")).select(
-        F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {clock.WINDOW}"))).alias("window_end")
-    )
-    return ends.join(counted, "window_end", "left").select(
-        "window_end", F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n)
+    """Counts per window, with a 0 for each window without rows between the first and the last.
+
+    Each window stands for itself and for the empty ones up to the next.  The order is over one row
+    per window, and the rows behind the counts are read once.
+    """
+    step = F.expr(f"INTERVAL {clock.WINDOW}")
+    following = F.lead("window_end").over(Window.orderBy("window_end"))
+    last = F.coalesce(following - step, F.col("window_end"))
+    return counted.select(
+        F.col("window_end").alias("_counted"), n, F.sequence("window_end", last, step).alias("_ends")
+    ).select("_counted", n, F.explode("_ends").alias("window_end")).select(
+        "window_end", F.when(F.col("window_end") == F.col("_counted"), F.col(n)).otherwise(0).alias(n)
     )
 
 

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from postwatch.functions import clock
 from postwatch.operators import lookup
 from postwatch.operators import posts as P
 from postwatch.session import keep
@@ -23,30 +25,34 @@ class Settings:
     places: DataFrame | None = None
 
 
-# Tables whose rows carry the record time.
+# Tables whose rows carry the record time ``ts``.
 TIMED = {"tb_tweet", "tb_user", "tb_hashtag", "tb_keyword"}
 
 
 def six_tables(posts: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    """All tables of a set of posts.  Retweets are dropped first."""
+    """All tables of a set of posts.  Retweets are dropped first.
+
+    The timed tables also get the record time as a timestamp ``ts``, parsed once per post.
+    """
     own = P.drop_retweets(posts)
-    users = P.user_rows(own)
+    timed = own.withColumn("ts", clock.parse_created_at(F.col("created_at")))
+    users = P.user_rows(timed, ["ts"])
     if settings.places is not None:
         users = lookup.enrich_location(users, settings.places)
     return {
         "raw_tweet": messages.raw_rows(own),
         "tweet": P.flat_posts(P.containing_terms(own, settings.terms)),
         "tb_user": users,
-        "tb_hashtag": P.hashtag_rows(own),
-        "tb_tweet": P.tagged_posts(own, settings.terms),
-        "tb_keyword": P.keyword_rows(own, settings.stop_words),
+        "tb_hashtag": P.hashtag_rows(timed, ["ts"]),
+        "tb_tweet": P.tagged_posts(timed, settings.terms, ["ts"]),
+        "tb_keyword": P.keyword_rows(timed, settings.stop_words, ["ts"]),
     }
 
 
 def write_tables(tables_: dict[str, DataFrame], folder: str, batch_id: int) -> None:
     """Write tables below ``folder``; the same batch again replaces its rows."""
     for name, rows in tables_.items():
-        tables.write_batch(rows, f"{folder}/{name}", batch_id, "timestamp" if name in TIMED else None)
+        tables.write_batch(rows, f"{folder}/{name}", batch_id, "ts" if name in TIMED else None)
 
 
 def ingest_batch(decoded: DataFrame, settings: Settings, folder: str, batch_id: int) -> None:

@@ -97,3 +97,11 @@ def test_store(spark, posts, post, stop_words, tmp_path):
         ("2018-10-16 04:00", "7", "s7"), ("2018-10-16 22:00", "8", "s8")]
     assert read["keywords"].count() == 3
     assert isinstance(read["disease"].first()["window_end"], dt.datetime)
+
+
+def test_windows_without_rows_read_the_rows_once(spark):
+    from tests.test_catalog import explained
+
+    df = rows(spark, "2018-10-16 01:00:00")
+    plan = explained(rollup.zero_filled(rollup.counts(df, n="tcount")))
+    assert plan.count("Scan ExistingRDD (") == 1 or plan.count("LocalTableScan (") == 1

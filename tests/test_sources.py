@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postwatch import schemas, session
+from postwatch.functions import clock
 from postwatch.operators import ordinal
 from postwatch.plans import ingest
 from postwatch.sources import delimited, messages, tables, word_vectors
@@ -107,9 +108,9 @@ def test_append_table(spark, posts, post):
 def test_a_batch_written_again_replaces_itself(spark, posts, post, tmp_path):
     path = str(tmp_path / "t")
     df = posts(post("1"), post("2", created_at="Wed Oct 17 03:30:00 +0000 2018"), post("3", created_at="?"))
-    rows = df.select("id_str", F.col("created_at").alias("timestamp"))
+    rows = df.select("id_str", clock.parse_created_at(F.col("created_at")).alias("ts"))
     for batch in (0, 0, 1):
-        tables.write_batch(rows, path, batch, "timestamp")
+        tables.write_batch(rows, path, batch, "ts")
     stored = spark.read.parquet(path)
     assert stored.count() == 6
     assert stored.filter("event_date = '2018-10-17'").select("id_str").distinct().first()[0] == "2"
