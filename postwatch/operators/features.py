@@ -183,14 +183,16 @@ def token_lengths(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(key, F.size(X.tokenize(F.col(text))).alias("n_tokens"))
 
 
-def unknown_words(texts: DataFrame, key: str, index: DataFrame, text: str = "text") -> DataFrame:
-    """``(key, pos, word)`` of the words that the vocabulary lacks.
-
-    The anti-join knows no hot key on the right, which is unique; on the left a hot word is split
-    by the adaptive skew join where the vocabulary is too large to broadcast.
-    """
+def unknown_words(
+    texts: DataFrame,
+    key: str,
+    index: DataFrame,
+    text: str = "text",
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``(key, pos, word)`` of the words that the vocabulary lacks."""
     rows = texts.select(key, F.posexplode(X.tokenize(F.col(text))).alias("pos", "word"))
-    return rows.join(index.select("word"), "word", "left_anti")
+    return lookup_join(rows, index.select("word"), "word", [key, "pos"], "left_anti", limit)
 
 
 def unknown_per_text(unknown: DataFrame, key: str) -> DataFrame:

@@ -36,7 +36,7 @@ def lookup_join(
     how: str = "left",
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join ``rows`` with a ``dictionary`` that is unique in ``key``.
+    """Join ``rows`` with a ``dictionary`` that is unique in ``key``; also as a ``left_anti`` join.
 
     The dictionary should be a stored table, as its size is measured first.  Up to ``limit``
     bytes it is broadcast and the rows stay where they are.  Beyond, both sides are shuffled by

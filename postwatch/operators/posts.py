@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions import text as X
+from postwatch.operators.lookup import BROADCAST_BYTES, lookup_join
 
 FULL_TEXT = "extended_tweet.full_text"
 HASHTAGS = "extended_tweet.entities.hashtags"
@@ -132,10 +133,12 @@ def join_times(rows: DataFrame, posts: DataFrame) -> DataFrame:
     return rows.join(times, "id_tweet", "inner")
 
 
-def without_stop_words(words: DataFrame, stop_words: DataFrame, column: str = "word") -> DataFrame:
+def without_stop_words(
+    words: DataFrame, stop_words: DataFrame, column: str = "word", limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """Rows whose upper-case word is not in the table of stop words (column ``word``)."""
     stops = stop_words.select(F.col("word").alias(column)).distinct()
-    return words.join(stops, column, "left_anti")
+    return lookup_join(words, stops, column, words.columns, "left_anti", limit)
 
 
 def user_rows(posts: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

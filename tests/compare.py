@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -73,6 +74,8 @@ def main() -> int:
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = local_session()
+    if os.environ.get("SHUFFLE_PARTITIONS"):
+        spark.conf.set("spark.sql.shuffle.partitions", os.environ["SHUFFLE_PARTITIONS"])
     con = connect(sf_dir)
     sqls, failed = e.oracle_sql(), []
     for name, build in e.queries().items():

@@ -92,14 +92,15 @@ def test_vocabulary_order_and_limit(spark):
     assert arrays(features.binary_bag_of_words(got), "positions") == [[2, 3], [1, 3]]
 
 
-def test_unknown_words(spark):
+@pytest.mark.parametrize("limit", [features.BROADCAST_BYTES, 0])
+def test_unknown_words(spark, limit):
     df = texts(spark, "a x b y x", "a", "")
     index = spark.createDataFrame([("a", 1), ("b", 2)], "word STRING, idx INT")
-    unknown = features.unknown_words(df, "id", index)
+    unknown = features.unknown_words(df, "id", index, limit=limit)
     got = [tuple(r) for r in features.unknown_per_text(unknown, "id").collect()]
     assert got == [(0, "x y x", 3)]
     assert tuple(features.unknown_totals(unknown).first()) == (3, 2)
-    none = features.unknown_words(df.filter("id = 1"), "id", index)
+    none = features.unknown_words(df.filter("id = 1"), "id", index, limit=limit)
     assert tuple(features.unknown_totals(none).first()) == (0, 0)
 
 

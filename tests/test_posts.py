@@ -63,7 +63,8 @@ def test_keyword_rows(posts, post, stop_words):
 def test_stop_word_table(spark):
     words = spark.createDataFrame([("THE",), ("FLU",), ("The",)], "word STRING")
     stops = spark.createDataFrame([("THE",), ("THE",)], "word STRING")
-    assert ids(P.without_stop_words(words, stops), "word") == ["FLU", "The"]
+    for limit in (lookup.BROADCAST_BYTES, 0):
+        assert ids(P.without_stop_words(words, stops, limit=limit), "word") == ["FLU", "The"]
 
 
 def places(spark):
@@ -98,3 +99,20 @@ def test_salted_lookup_is_the_broadcast_lookup(spark):
         b = lookup.lookup_join(rows, dictionary, "word", ["id"], how, limit=0)
         assert a.columns == b.columns
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_small_dictionaries_are_broadcast_and_large_ones_salted(spark):
+    from tests.test_catalog import explained
+
+    rows = spark.range(10).select("id", F.col("id").cast("string").alias("word"))
+    dictionary = rows.select("word", F.col("id").alias("idx"))
+    assert "BroadcastHashJoin" in explained(lookup.lookup_join(rows, dictionary, "word", ["id"]))
+    salted = explained(lookup.lookup_join(rows, dictionary, "word", ["id"], limit=0))
+    assert "_salt" in salted
+
+
+def test_measured_bytes_grow_with_the_rows(spark):
+    small = spark.range(10).select(F.col("id"), F.lit("abc").alias("w"))
+    large = spark.range(1000).select(F.col("id"), F.lit("abc").alias("w"))
+    assert lookup.measured_bytes(large) == 100 * lookup.measured_bytes(small) > 0
+    assert lookup.measured_bytes(small.limit(0)) == 0
