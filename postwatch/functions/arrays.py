@@ -56,6 +56,10 @@ def dot(u: Column, v: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
+def norm(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
 def cosine(u: Column, v: Column) -> Column:
     """Cosine of the angle between two vectors, null when one of them is zero."""
-    return F.try_divide(dot(u, v), F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)))
+    return F.try_divide(dot(u, v), norm(u) * norm(v))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwatch.functions import arrays as A
@@ -30,15 +32,28 @@ def most_similar(
     vectors are read once and stay where they are.  Each task ranks its own rows first, so what is
     shuffled is ``k`` rows per query and task.
     """
-    listed = queries.select("query", F.col(vec).alias("vec")).limit(MAX_QUERIES + 1).collect()
+    listed = queries.select("query", F.col(vec).cast("array<double>").alias("vec"))
+    listed = listed.limit(MAX_QUERIES + 1).collect()
     if len(listed) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} query vectors; score them in several passes")
-    literal = F.array(
-        *[F.struct(F.lit(q["query"]).alias("query"),
-                   F.array(*[F.lit(float(x)) for x in q["vec"]]).alias("vec")) for q in listed]
-    )
-    scored = vectors.select(key, vec, F.explode(literal).alias("q")).select(
-        F.col("q.query").alias("query"), key, A.cosine(F.col("q.vec"), F.col(vec)).alias("cosine")
+    literal = F.array(*[F.struct(F.lit(q["query"]).alias("query"), _unit(q["vec"])) for q in listed])
+    values = F.col(vec).cast("array<double>")
+    # The length of a vector is worked out once, not once per query.
+    scored = (
+        vectors.select(key, values.alias("_v"), A.norm(values).alias("_norm"))
+        .select(key, "_v", "_norm", F.explode(literal).alias("q"))
+        .select(
+            F.col("q.query").alias("query"),
+            key,
+            F.try_divide(A.dot(F.col("q.unit"), F.col("_v")), F.col("_norm")).alias("cosine"),
+        )
     )
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("cosine"), key))
     return scored.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def _unit(vec: list[float]) -> Column:
+    """A vector brought to length 1 as a literal, null for the zero vector."""
+    size = math.sqrt(sum(x * x for x in vec))
+    unit = F.array(*[F.lit(x / size) for x in vec]) if size else F.lit(None).cast("array<double>")
+    return unit.alias("unit")
