@@ -21,11 +21,24 @@ def in_last_window(df: DataFrame, end: Column, ts: str = "ts") -> DataFrame:
     return in_range(df, end - F.expr(f"INTERVAL {clock.WINDOW}"), end, ts)
 
 
+def ended(df: DataFrame, day_start: str | None = None, ts: str = "ts") -> DataFrame:
+    """Add the ``window_end`` of each row."""
+    return df.withColumn("window_end", clock.window_end(F.col(ts), day_start))
+
+
+def ended_at(df: DataFrame, start: Column, end: Column, ts: str = "ts") -> DataFrame:
+    """The rows of one window of any length, stamped with its end."""
+    return in_range(df, start, end, ts).withColumn("window_end", end)
+
+
 def counts(
     df: DataFrame, *keys: str, day_start: str | None = None, ts: str = "ts", n: str = "mentions"
 ) -> DataFrame:
     """Rows per window end, and per key if there are any."""
-    windowed = df.withColumn("window_end", clock.window_end(F.col(ts), day_start))
+    return counts_by_end(ended(df, day_start, ts), *keys, n=n)
+
+
+def counts_by_end(windowed: DataFrame, *keys: str, n: str = "mentions") -> DataFrame:
     return windowed.groupBy("window_end", *keys).agg(F.count("*").alias(n))
 
 
@@ -50,8 +63,11 @@ def user_counts(df: DataFrame, day_start: str | None = None, ts: str = "ts") ->
 
     Rows need ``id_user, screen_name, location`` and, for the order at equal times, ``id_tweet``.
     """
+    return user_counts_by_end(ended(df, day_start, ts), ts)
+
+
+def user_counts_by_end(windowed: DataFrame, ts: str = "ts") -> DataFrame:
     order = F.struct(ts, "id_tweet")
-    windowed = df.withColumn("window_end", clock.window_end(F.col(ts), day_start))
     return windowed.groupBy("window_end", "id_user").agg(
         F.min_by("screen_name", order).alias("user_name"),
         F.min_by("location", order).alias("user_location"),

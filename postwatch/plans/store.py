@@ -1,36 +1,71 @@
-"""The roll-up store: five counts per six-hour window from the derived tables."""
+"""The roll-up store: five counts per window from the derived tables.
+
+The tables carry a timestamp ``ts``, so a time range reaches their files.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from postwatch.functions import clock
 from postwatch.operators import rollup
 from postwatch.sources import tables
 
+TABLES = ["tb_tweet", "tb_user", "tb_keyword", "tb_hashtag"]
 
-def rollups(
-    tb_tweet: DataFrame,
-    tb_user: DataFrame,
-    tb_keyword: DataFrame,
-    tb_hashtag: DataFrame,
-    day_start: str | None = None,
-) -> dict[str, DataFrame]:
-    """Roll-ups of all windows at once, one pass per table.  Rows carry a timestamp ``ts``."""
-    renamed = {
-        "disease": ("disease", "disease_name", tb_tweet),
-        "keywords": ("keyword", "keyword_text", tb_keyword),
-        "hashtags": ("hashtag", "hashtag_text", tb_hashtag),
-    }
+# Store table, key column of the derived table, name of the key in the store.
+KEYED = [
+    ("disease", "tb_tweet", "disease", "disease_name"),
+    ("keywords", "tb_keyword", "keyword", "keyword_text"),
+    ("hashtags", "tb_hashtag", "hashtag", "hashtag_text"),
+]
+
+
+def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+
+
+def _keyed_counts(ended: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     out = {
-        store: rollup.counts(rows, key, day_start=day_start).withColumnRenamed(key, name)
-        for store, (key, name, rows) in renamed.items()
+        store: rollup.counts_by_end(ended[table], key).withColumnRenamed(key, name)
+        for store, table, key, name in KEYED
     }
-    total = rollup.counts(tb_tweet, day_start=day_start, n="tcount")
-    out["tweet_count"] = rollup.zero_filled(total)
-    out["users"] = rollup.user_counts(tb_user, day_start)
+    out["users"] = rollup.user_counts_by_end(ended["tb_user"])
     return out
 
 
-def update_store(counted: dict[str, DataFrame], folder: str) -> None:
+def backfill(
+    derived: Mapping[str, DataFrame],
+    start: Column | None = None,
+    end: Column | None = None,
+    day_start: str | None = clock.DAY_START,
+) -> dict[str, DataFrame]:
+    """Roll-ups of all six-hour windows, or of those in a range, at once; one pass per table."""
+    if start is not None:
+        derived = {name: rows.filter(F.col("ts") >= start) for name, rows in derived.items()}
+    if end is not None:
+        derived = {name: rows.filter(F.col("ts") < end) for name, rows in derived.items()}
+    ended = {name: rollup.ended(rows, day_start) for name, rows in derived.items()}
+    total = rollup.counts_by_end(ended["tb_tweet"], n="tcount")
+    return {**_keyed_counts(ended), "tweet_count": rollup.zero_filled(total)}
+
+
+def one_window(derived: Mapping[str, DataFrame], start: Column, end: Column) -> dict[str, DataFrame]:
+    """Roll-ups of one window of any length; the total is there even if it is 0."""
+    ended = {name: rollup.ended_at(rows, start, end) for name, rows in derived.items()}
+    total = ended["tb_tweet"].agg(F.count("*").alias("tcount")).withColumn("window_end", end)
+    return {**_keyed_counts(ended), "tweet_count": total.select("window_end", "tcount")}
+
+
+def last_window(derived: Mapping[str, DataFrame], end: Column) -> dict[str, DataFrame]:
+    """Roll-ups of the six hours before ``end``."""
+    return one_window(derived, end - F.expr(f"INTERVAL {clock.WINDOW}"), end)
+
+
+def update_store(counted: Mapping[str, DataFrame], folder: str) -> None:
+    """Write roll-ups; windows that are there already are replaced."""
     for name, rows in counted.items():
         tables.write_rollup(rows, f"{folder}/{name}")

@@ -80,3 +80,9 @@ def json_lines_to_delimited(spark: SparkSession, source: str, sep: str = "|") ->
     return spark.read.schema(schemas.JSON_TEXT).json(source).select(
         F.concat_ws(sep, F.col("id").cast("string"), X.blank(F.col("full_text"), "\r\n")).alias("value")
     )
+
+
+def clean_labeled(spark: SparkSession, source: str, target: str) -> None:
+    """Write a ``text|label`` file anew as ``cleaned text,label``."""
+    rows = read_delimited(spark, source, schemas.LABELED_TEXT, "|")
+    write_delimited(rows.withColumn("tweet", X.clean_text(F.col("tweet"))), target, ",")

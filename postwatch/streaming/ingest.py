@@ -72,3 +72,18 @@ def start_publish(
         .option("checkpointLocation", checkpoint)
     )
     return _trigger(writer, once, seconds).start()
+
+
+def start_publish_kafka(
+    posts: DataFrame, servers: str, topic: str, checkpoint: str, once: bool = False,
+    seconds: int = ROUND_SECONDS,
+) -> StreamingQuery:
+    """The same to a topic.  Needs Spark's Kafka package on the class path."""
+    writer = (
+        messages.encode(P.with_extended_text(posts))
+        .writeStream.format("kafka")
+        .option("kafka.bootstrap.servers", servers)
+        .option("topic", topic)
+        .option("checkpointLocation", checkpoint)
+    )
+    return _trigger(writer, once, seconds).start()

@@ -84,7 +84,8 @@ def test_store(spark, posts, post, stop_words, tmp_path):
         "tb_tweet": P.tagged_posts(df, ["zika", "flu"]), "tb_user": P.user_rows(df),
         "tb_keyword": P.keyword_rows(df, stop_words), "tb_hashtag": P.hashtag_rows(df),
     }
-    counted = store.rollups(**{k: v.withColumn("ts", ts) for k, v in tb.items()}, day_start=clock.DAY_START)
+    derived = {k: v.withColumn("ts", ts) for k, v in tb.items()}
+    counted = store.backfill(derived)
     store.update_store(counted, str(tmp_path))
     read = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in counted}
     assert shown(read["tweet_count"], "tcount") == [
@@ -98,6 +99,16 @@ def test_store(spark, posts, post, stop_words, tmp_path):
     assert read["keywords"].count() == 3
     assert isinstance(read["disease"].first()["window_end"], dt.datetime)
 
+    # A range of windows; one window of any length; the six hours before a time.
+    day = [clock.border(f"2018-10-16 {h:02d}:00:00 -0400") for h in (0, 18)]
+    assert shown(store.backfill(derived, *day)["tweet_count"], "tcount") == [("2018-10-16 22:00", 1)]
+    window = store.one_window(derived, clock.border("2018-10-15 23:00:00 -0400"), day[0])
+    assert shown(window["tweet_count"], "tcount") == [("2018-10-16 04:00", 2)]
+    assert shown(window["hashtags"], "hashtag_text", "mentions") == [("2018-10-16 04:00", "h", 1)]
+    last = store.last_window(derived, clock.border("2018-10-17 00:00:00 -0400"))
+    assert shown(last["tweet_count"], "tcount") == [("2018-10-17 04:00", 0)]
+    assert last["users"].count() == 0
+
 
 def test_windows_without_rows_read_the_rows_once(spark):
     from tests.test_catalog import explained

@@ -72,6 +72,13 @@ def test_convert(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "c")).collect()) == ["x y,2", "z,4"]
 
 
+def test_clean_labeled(spark, tmp_path):
+    source = write(tmp_path / "a.csv", "I can't stop! #Flu|1\n@me, see http://x.y now|0\n")
+    delimited.clean_labeled(spark, source, str(tmp_path / "b"))
+    got = sorted(r["value"] for r in spark.read.text(str(tmp_path / "b")).collect())
+    assert got == ["i cannot stop flu,1", "see  now,0"]
+
+
 def test_json_lines_keep_every_record(spark, tmp_path):
     lines = [json.dumps({"id": i, "full_text": f"t\n{i}"}) for i in range(5)]
     path = write(tmp_path / "a.json", "\n".join(lines) + "\n")
