@@ -145,7 +145,6 @@ SELECT doc_id, id, keyword FROM k JOIN dim USING (keyword)""",
 def dim_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = B.documents(spark, sf_dir, "doc_id", "text")
     words = P.explode_keywords(texts, F.col("text"), B.STOP_WORDS).select("doc_id", "keyword")
-    rows = keep(words, "keywords")
-    dimension = keep(features.term_dimension(rows, "keyword"), "dimension")
-    bridge = features.term_bridge(rows, "doc_id", "keyword", dimension)
-    return bridge.join(dimension, "id").select("doc_id", "id", "keyword")
+    pairs = keep(words.distinct(), "pairs")
+    dimension = keep(features.term_dimension(pairs, "keyword"), "dimension")
+    return features.with_term_ids(pairs, "doc_id", "keyword", dimension)

@@ -220,12 +220,18 @@ def term_dimension(rows: DataFrame, term: str) -> DataFrame:
     return with_ordinal(distinct, term).select((F.col("ordinal") + 1).alias("id"), term)
 
 
-def term_bridge(
-    rows: DataFrame, key: str, term: str, dimension: DataFrame, limit: int = BROADCAST_BYTES
+def with_term_ids(
+    pairs: DataFrame, key: str, term: str, dimension: DataFrame, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """``(key, id)`` pairs, each once, that link rows to their terms.
+    """Add to ``(key, term)`` pairs the ``id`` of the term.
 
     ``dimension`` should be a stored table, as its size is measured first.
     """
-    pairs = rows.select(key, term).distinct()
-    return lookup_join(pairs, dimension, term, [key], "inner", limit).select(key, "id")
+    return lookup_join(pairs, dimension, term, [key], "inner", limit)
+
+
+def term_bridge(
+    pairs: DataFrame, key: str, term: str, dimension: DataFrame, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``(key, id)`` rows that link keys to their terms, from distinct ``(key, term)`` pairs."""
+    return with_term_ids(pairs, key, term, dimension, limit).select(key, "id")

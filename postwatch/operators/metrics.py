@@ -82,16 +82,16 @@ def binary_metrics(
 
 def micro_metrics(df: DataFrame, y_true: str, scores: str, by: Sequence[str] = ()) -> DataFrame:
     """The binary metrics over all cells of one-hot labels and score arrays."""
-    cells = df.select(*by, F.explode(F.arrays_zip(F.col(y_true), F.col(scores))).alias("c"))
-    cells = cells.select(*by, F.col("c")[y_true].alias("y_true"), F.col("c")[scores].alias("y_pred"))
+    pairs = F.arrays_zip(F.col(y_true).alias("y_true"), F.col(scores).alias("y_pred"))
+    cells = df.select(*by, F.inline(pairs))
     return binary_metrics(cells, by=by)
 
 
 def per_class_metrics(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and specificity of each class, and the accuracy over all classes.
 
-    Taken from a long confusion matrix: each cell adds to the row sum of its true class and to the column sum of its predicted class.
-    Quotients without a base are null.
+    Taken from a long confusion matrix: each cell adds to the row sum of its true class and to the
+    column sum of its predicted class.  Quotients without a base are null.
     """
     sides = F.explode(
         F.array(

@@ -9,6 +9,8 @@ from postwatch.functions import clock
 
 # How late a post may be.
 LATENESS = "1 hour"
+# Parts that copies of one post are spread over.
+SALTS = 32
 
 
 def window_counts(
@@ -30,5 +32,15 @@ def window_counts(
 
 def distinct_posts(rows: DataFrame, key: str = "id_str", ts: str = "ts",
                    lateness: str = LATENESS) -> DataFrame:
-    """The first row of each id; ids are remembered for the time a repeat may come late."""
-    return rows.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
+    """One row of each id; ids are remembered for the time a repeat may come late.
+
+    Copies of one id are first dropped among the rows of the same part of the input, spread over
+    ``SALTS`` tasks, so a post sent very often is no hot spot for the second step.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return (
+        salted.withWatermark(ts, lateness)
+        .dropDuplicatesWithinWatermark([key, "_salt"])
+        .drop("_salt")
+        .dropDuplicatesWithinWatermark([key])
+    )

@@ -109,8 +109,8 @@ def test_dimension_and_bridge(spark, limit):
     rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "b")], "id INT, term STRING")
     dimension = features.term_dimension(rows, "term")
     assert sorted(map(tuple, dimension.collect())) == [(1, "a"), (2, "b")]
-    bridge = features.term_bridge(
-        rows.withColumnRenamed("id", "doc"), "doc", "term", dimension, limit)
+    pairs = rows.withColumnRenamed("id", "doc").distinct()
+    bridge = features.term_bridge(pairs, "doc", "term", dimension, limit)
     assert sorted(map(tuple, bridge.collect())) == [(1, 1), (1, 2), (2, 2)]
 
 
