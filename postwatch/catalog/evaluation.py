@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.catalog import base as B
@@ -57,15 +57,27 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def class_scores() -> Column:
+    """Scores of three classes: the greatest of every third number of a vector."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(2)),
+        lambda c: F.array_max(F.filter("embedding", lambda x, i: i % 3 == c)),
+    )
+
+
+SCORES = """list_transform([0, 1, 2], lambda c: list_max(list_filter(embedding,
+         lambda x, i: (i - 1) % 3 = c)))"""
+
+
 @query(
     "argmax_label",
     """SELECT vec_id, p AS label, CASE p WHEN 0 THEN 'negative' WHEN 1 THEN 'positive'
        WHEN 2 THEN 'neutral' END AS sentiment
 FROM (SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS p
-      FROM (SELECT vec_id, embedding[1:3] AS s FROM embeddings))""",
+      FROM (SELECT vec_id, """ + SCORES + """ AS s FROM embeddings))""",
 )
 def argmax_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = A.argmax(A.trim(F.col("embedding"), 3))
+    label = A.argmax(class_scores())
     return B.table(spark, sf_dir, "embeddings").select(
         "vec_id", label.alias("label"), A.label_name(label).alias("sentiment")
     )
@@ -185,12 +197,12 @@ def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "micro_metrics",
     f"""WITH c AS (SELECT unnest([CAST(label % 3 = i AS INTEGER) FOR i IN [0, 1, 2]]) AS y,
-                  unnest([CAST(x AS DOUBLE) + 0.4 FOR x IN embedding[1:3]]) AS p FROM embeddings),
+                  unnest([CAST(x AS DOUBLE) + 0.25 FOR x IN {SCORES}]) AS p FROM embeddings),
 b AS (SELECT {sql_binary("y", "p")} FROM c)
 SELECT {SQL_BINARY_ROUNDED} FROM (SELECT {SQL_BINARY})""",
 )
 def micro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = F.transform(A.trim(F.col("embedding"), 3), lambda x: x.cast("double") + 0.4)
+    scores = F.transform(class_scores(), lambda x: x.cast("double") + 0.25)
     rows = three_classes(spark, sf_dir).select(
         A.one_hot(F.col("label"), 3).alias("y"), scores.alias("scores")
     )
