@@ -76,4 +76,5 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 if __name__ == "__main__":
-    run(SparkSession.builder.appName("postwatch").getOrCreate(), arguments())
+    given = arguments()
+    run(SparkSession.builder.appName("postwatch").getOrCreate(), given)
