@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import decontaminate, langid, linededup, mixing, simhash
+from postwatch.llm import chat, decontaminate, langid, linededup, mixing, ordermin, rlz, simhash
+from postwatch.llm.common import keep, keyed_join, text_hash
 from postwatch.llm.registry import QUERIES, SQL, query, table
+from postwatch.operators.ordinal import with_ordinal
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -55,3 +57,82 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.plan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
+
+
+@query("op3_chat")
+def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast(given.schema["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(given.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    read = chat.read_back(chat.windows(given.unionAll(extra)))
+    whole = read.groupBy("conv").agg(
+        F.array_sort(F.collect_list(F.struct("window", "turns", "losses"))).alias("w"), F.sum("chars").alias("chars")
+    )
+    turns = F.flatten(F.col("w.turns"))
+    loss = F.array_join(F.flatten(F.col("w.losses")), "")
+    shown = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return whole.select(
+        F.col("conv").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(shown, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), F.col("chars").alias("formatted_chars"),
+        F.size("w").cast("long").alias("n_windows"),
+    )
+
+
+def neighbours(docs: DataFrame) -> DataFrame:
+    """``(id, next_id, need)`` of each distinct id: the next smaller one, after the smallest the largest.
+
+    ``need`` is a third of the longest text with the id, in code points.
+    """
+    sizes = docs.groupBy("doc_id").agg((F.max(F.length("text")) / 3).cast("int").alias("need"))
+    placed = with_ordinal(sizes, "doc_id")
+    n = placed.count()
+    after = placed.select(F.col("doc_id").alias("next_id"), F.col("ordinal").alias("place"))
+    before = placed.select(
+        F.col("doc_id").alias("id"), "need", F.pmod(F.col("ordinal") - 1, F.lit(max(n, 1))).alias("place")
+    )
+    return keep(before.join(after, "place").select("id", "next_id", "need"), "neighbours")
+
+
+@query("op4_order_minhash")
+def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of rows that share an id the one with the smallest text hash is the id's document for its neighbour."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    links = neighbours(docs)
+    given = (
+        keyed_join(docs, links, [("doc_id", "next_id")], ["doc_id", "text"], "inner")
+        .select("id", "next_id", F.struct(text_hash("text").alias("th"), F.expr("substring(text, 1, need)").alias("head")).alias("x"))
+        .groupBy("id", "next_id")
+        .agg(F.min("x")["head"].alias("head"))
+    )
+    third = F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(
+        F.substring("text", F.lit(1), F.length("text") - third), F.substring("head", F.lit(1), third)
+    )
+    texts = docs.join(given, docs["doc_id"].eqNullSafe(given["id"])).select("doc_id", "next_id", "text", edited.alias("edited"))
+    signed = keep(
+        texts.select(
+            "doc_id", "next_id", text_hash("text").alias("th"), F.length("text").cast("long").alias("n_chars"),
+            F.sha2("edited", 256).alias("edited_sha256"), ordermin.signature(F.col("text")).alias("a"),
+            ordermin.signature(F.col("edited")).alias("b"),
+        ),
+        "signed",
+    )
+    next_one = signed.groupBy(F.col("doc_id").alias("of")).agg(F.min(F.struct("th", "a"))["a"].alias("c"))
+    joined = signed.join(next_one, signed["next_id"].eqNullSafe(next_one["of"]))
+    return joined.select(
+        "doc_id", "n_chars", "edited_sha256", ordermin.fingerprint(F.col("a")).alias("fingerprint"),
+        ordermin.fingerprint(F.col("b")).alias("edited_fingerprint"),
+        ordermin.likeness(F.col("a"), F.col("b")).alias("near_edited"),
+        ordermin.likeness(F.col("a"), F.col("c")).alias("near_next"),
+    )
+
+
+@query("op7_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rlz.dedupe_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
