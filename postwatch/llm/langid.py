@@ -9,7 +9,7 @@ Defined results: a null text and a text without letters give ``und``, score 0 an
 labelled row everything is ``und``; a word in a script that no label uses scores alike under all of them;
 of labels with equally many letters the first in the order of code points wins.  A text is labelled in
 stretches of ``STRETCH`` code points, so the longest text needs no more memory than others; all of it
-is labelled.  Columns of the input that have a result's name give way to it.
+is labelled.  Columns of the input keep their names, and a result whose name is taken gets an underscore.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postwatch.llm.common import fresh
+
 BUCKETS = 1 << 15
 #: Price of a change of label, in the unit of the scores, natural logarithms.
 SWITCH = 8.0
@@ -251,8 +253,8 @@ def identify(
     docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, switch: float = SWITCH
 ) -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``spans`` to the rows of ``docs``."""
-    results = {"lang_pred", "score", "spans"}
-    kept = [c for c in docs.columns if c.lower() not in results and (keep_text or c != text_col)]
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    results = fresh(docs.select(*kept), "lang_pred", "score", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one column per label, BUCKETS rows
     rows = docs.select(*kept, *([] if text_col in kept else [text_col]))
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -275,12 +277,12 @@ def identify(
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(len(kept))), pa.array([x[0] for x in found], pa.string()),
                  pa.array([x[1] for x in found], pa.float64()), pa.array(spans, span_type)],
-                [*kept, "lang_pred", "score", "spans"],
+                [*kept, *results],
             )
 
     rows_at = rows.columns.index(text_col)
     schema = T.StructType([
-        *(rows.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()),
-        T.StructField("score", T.DoubleType()), T.StructField("spans", T._parse_datatype_string(SPANS)),
+        *(rows.schema[c] for c in kept), T.StructField(results[0], T.StringType()),
+        T.StructField(results[1], T.DoubleType()), T.StructField(results[2], T._parse_datatype_string(SPANS)),
     ])
     return rows.mapInArrow(run, schema)

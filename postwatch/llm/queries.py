@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import chat, decontaminate, langid, linededup, mixing, ordermin, rlz, simhash
+from postwatch.llm import chat, decontaminate, langid, linededup, lmscore, mixing, ordermin, rlz, simhash, warc
 from postwatch.llm.common import keep, keyed_join, text_hash
 from postwatch.llm.registry import QUERIES, SQL, query, table
 from postwatch.operators.ordinal import with_ordinal
@@ -136,3 +136,17 @@ def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rlz.dedupe_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), remainder(10) == 0)
+
+
+@query("op5_warc")
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("place").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"), "refers_to",
+    )
