@@ -87,11 +87,10 @@ def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW, rarest: in
     )
 
 
-def lists(items: DataFrame, index: DataFrame, sets: DataFrame) -> DataFrame:
-    """Posting lists of the anchors, less their offsets: ``(doc_id, th, ik, p, diagonal)``."""
+def lists(items: DataFrame, index: DataFrame, places: DataFrame) -> DataFrame:
+    """Posting lists of item positions ``(ik, p)``, less their offsets: ``(doc_id, th, ik, p, diagonal)``."""
     looked_up = keep(
-        sets.select("ik", F.explode(F.array_distinct(F.flatten("sets"))).alias("p"))
-        .join(items, "ik")
+        places.join(items, "ik")
         .select(F.hash(F.get("w", F.col("p"))).alias("anchor"), F.struct("ik", "p").alias("x"))
         .groupBy("anchor")
         .agg(F.collect_list("x").alias("at")),
@@ -104,12 +103,38 @@ def lists(items: DataFrame, index: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def band(slop: int) -> Column:
+    return F.floor(F.col("diagonal") / F.lit(slop + 1)).cast("long")
+
+
+def met(items: DataFrame, index: DataFrame, sets: DataFrame, slop: int = 0) -> DataFrame:
+    """Lists of all anchors, the more frequent ones only where a window's rarest term is within ``slop``.
+
+    The lists of the rarest terms are short, and only what they reach is taken from the others.  The filter
+    goes by a hash; what it lets through in error does not meet later.
+    """
+    rarest = F.array_distinct(F.transform("sets", lambda s: s[0]))
+    others = F.array_except(F.flatten("sets"), rarest)
+    first = keep(lists(items, index, sets.select("ik", F.explode(rarest).alias("p"))), "rarest")
+    reach = F.array(*[band(slop) + k for k in ((-1, 0, 1) if slop else (0,))])
+    near = keep(
+        first.select("doc_id", "th", "ik", F.explode(reach).alias("b"))
+        .select(F.xxhash64("doc_id", "th", "ik", "b").alias("near")).distinct(),
+        "reach",
+    )
+    rest = lists(items, index, sets.select("ik", F.explode(others).alias("p"))).withColumn(
+        "key", F.xxhash64("doc_id", "th", "ik", band(slop))
+    )
+    reached = keyed_join(rest, near, [("key", "near")], ["p", "diagonal"], "left_semi").drop("key")
+    return keep(first.unionAll(reached), "offsets")
+
+
 def candidates(offsets: DataFrame, sets: DataFrame) -> DataFrame:
     """``(doc_id, th, ik, diagonal)`` where all rarest terms of some window meet."""
-    met = offsets.groupBy("doc_id", "th", "ik", "diagonal").agg(F.collect_set("p").alias("ps"))
+    gathered = offsets.groupBy("doc_id", "th", "ik", "diagonal").agg(F.collect_set("p").alias("ps"))
     known = sets.select(F.col("ik").alias("of"), "sets")
     return (
-        keyed_join(met, known, [("ik", "of")], ["doc_id", "diagonal"], "inner")
+        keyed_join(gathered, known, [("ik", "of")], ["doc_id", "diagonal"], "inner")
         .filter(F.exists("sets", lambda s: F.size(F.array_except(s, F.col("ps"))) == 0))
         .select("doc_id", "th", "ik", "diagonal")
     )
@@ -120,9 +145,8 @@ def near_items(offsets: DataFrame, sets: DataFrame, slop: int = SLOP) -> DataFra
 
     Diagonals are dealt into overlapping bands, so that what can match meets in one band.
     """
-    band = F.floor(F.col("diagonal") / F.lit(slop + 1)).cast("long")
     banded = (
-        offsets.withColumn("band", F.explode(F.array(band, band - 1)))
+        offsets.withColumn("band", F.explode(F.array(band(slop), band(slop) - 1)))
         .groupBy("doc_id", "th", "ik", "band")
         .agg(F.collect_set(F.struct("p", "diagonal")).alias("found"))
     )
@@ -173,22 +197,20 @@ def decontaminate(
     items = keep(item_words(benchmark), "items")
     index = keep(postings(docs, items, id_col, text_col), "postings")
     sets = keep(anchors(items, index, window), "sets")
-    offsets = lists(items, index, sets)
-    if near:
-        offsets = keep(offsets, "offsets")
+    offsets = met(items, index, sets, SLOP if near else 0)
     th, did, dth, found, nid, nth, w, hits = fresh(
         docs, "_th", "_d_id", "_d_th", "_found", "_n_id", "_n_th", "_w", "_hits"
     )
     n_words, n_hit, names, close = fresh(docs, "n_words", "n_hit", "items", "near_items")
     known = items.select(F.col("ik").alias("of"), "item", "w")
-    met = keep(
+    hit = keep(
         keyed_join(candidates(offsets, sets), known, [("ik", "of")], ["doc_id", "diagonal"], "inner")
         .groupBy(F.col("doc_id").alias(did), F.col("th").alias(dth))
         .agg(F.collect_list(F.struct("item", "w", "diagonal")).alias(found)),
         "candidates",
     )
     rows = docs.withColumn(th, text_hash(text_col))
-    joined = keyed_join(rows, met, [(id_col, did), (th, dth)], [id_col, th])
+    joined = keyed_join(rows, hit, [(id_col, did), (th, dth)], [id_col, th])
     if near:
         nearby = keep(
             keyed_join(near_items(offsets, sets), known, [("ik", "of")], ["doc_id"], "inner")
@@ -204,7 +226,7 @@ def decontaminate(
             F.size(x).alias("n"),
             F.filter(
                 F.transform(
-                    F.coalesce(F.col(found), F.array().cast(met.schema[found].dataType)),
+                    F.coalesce(F.col(found), F.array().cast(hit.schema[found].dataType)),
                     lambda c: F.struct(c["item"].alias("item"), _covered(x, c, window).alias("at")),
                 ),
                 lambda c: F.size(c["at"]) > 0,

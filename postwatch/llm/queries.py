@@ -42,7 +42,59 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedupe_lines(docs, counts=True)
 
 
-@query("op6_decontamination")
+DECONTAMINATION = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+iw AS (
+  SELECT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, s + 1, s + least(10, len(w))), ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(len(w) - least(10, len(w)) + 1)) AS s FROM i WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, s, n, array_to_string(list_slice(w, s + 1, s + n), ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS s
+        FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, s, n, item_id FROM dw JOIN iw USING (g, n)),
+words_hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+              FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id),
+posting AS (
+  SELECT * FROM (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS p FROM d)
+  WHERE term IN (SELECT unnest(w) FROM i)),
+frequency AS (SELECT term, count(*) AS c FROM posting GROUP BY term),
+part AS (
+  SELECT item_id, s, n, s + j AS p, w[s + j + 1] AS term
+  FROM (SELECT item_id, w, s, n, unnest(range(n)) AS j
+        FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(len(w) - least(10, len(w)) + 1)) AS s
+              FROM i WHERE len(w) > 0))),
+anchor AS (
+  SELECT *, count(*) OVER (PARTITION BY item_id, s) AS size
+  FROM (SELECT item_id, s, p, term, row_number() OVER (PARTITION BY item_id, s ORDER BY c, p) AS r,
+               count(*) FILTER (WHERE c IS NULL) OVER (PARTITION BY item_id, s) AS unknown
+        FROM part LEFT JOIN frequency USING (term))
+  WHERE r <= 3 AND unknown = 0),
+place AS (SELECT doc_id, item_id, s, r, size, posting.p - anchor.p AS at FROM posting JOIN anchor USING (term)),
+near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near
+  FROM (SELECT x.doc_id, x.item_id
+        FROM place x JOIN place y
+          ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.s = y.s AND y.at BETWEEN x.at AND x.at + 5
+        GROUP BY x.doc_id, x.item_id, x.s, x.at, x.size HAVING count(DISTINCT y.r) = x.size)
+  GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)"""
+
+
+@query("op6_decontamination", DECONTAMINATION)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), near=True)
