@@ -50,19 +50,23 @@ def keyed_join(
     spread: list[str],
     how: str = "left",
     limit: int = BROADCAST_BYTES,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``rows`` with a stored ``dictionary`` that has at most one row per key; null equals null.
 
     ``keys`` are pairs (column of rows, column of dictionary), whose names must differ; the
     dictionary's columns stay in the result.  Up to ``limit`` measured bytes the dictionary is
     broadcast.  Beyond, both sides are shuffled by key and salt, so that the rows of a hot key
-    spread over ``SALTS`` tasks, and every dictionary row is there once per salt.
+    spread over ``salts`` tasks, and every dictionary row is there once per salt.  One salt is for keys
+    that cannot be hot, such as hashes of a row's own place.
     """
     if measured_bytes(dictionary) <= limit:
         return rows.join(F.broadcast(dictionary), match(rows, dictionary, keys), how)
+    if salts == 1:
+        return rows.join(dictionary, match(rows, dictionary, keys), how)
     salt, other = fresh(rows, "_salt", "_salt_of")
-    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = dictionary.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = dictionary.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.join(copies, match(rows, copies, [*keys, (salt, other)]), how).drop(salt, other)
 
 
