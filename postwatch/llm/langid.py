@@ -34,7 +34,9 @@ SAMPLE_DOCS = 20_000
 SCRIPT_SHARE = 0.01
 STRETCH = 1 << 16
 #: Code points worked on at once, unless one text has more.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
+#: Rows of a batch that are unpacked at once.
+ROWS = 2000
 NO_LABEL = "und"
 OUT_OF_SCRIPT = -30.0
 
@@ -260,7 +262,7 @@ def identify(
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             texts = batch.column(rows_at).to_pylist()
             order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
             found: list = [None] * len(texts)
