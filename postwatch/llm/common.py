@@ -58,9 +58,10 @@ def keyed_join(
     dictionary's columns stay in the result.  Up to ``limit`` measured bytes the dictionary is
     broadcast.  Beyond, both sides are shuffled by key and salt, so that the rows of a hot key
     spread over ``salts`` tasks, and every dictionary row is there once per salt.  One salt is for keys
-    that cannot be hot, such as hashes of a row's own place.
+    that cannot be hot, such as hashes of a row's own place; no limit is for dictionaries that grow with
+    the rows, which are then shuffled at every size.
     """
-    if measured_bytes(dictionary) <= limit:
+    if limit and measured_bytes(dictionary) <= limit:
         return rows.join(F.broadcast(dictionary), match(rows, dictionary, keys), how)
     if salts == 1:
         return rows.join(dictionary, match(rows, dictionary, keys), how)

@@ -25,8 +25,6 @@ WINDOW = 10
 RAREST = 3
 #: Words that the rarest terms of a near match may be displaced by.
 SLOP = 5
-#: Measured bytes up to which the places that the rarest terms reach are broadcast; a task holds several times that.
-REACH_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -127,7 +125,7 @@ def met(items: DataFrame, index: DataFrame, sets: DataFrame, slop: int = 0) -> D
     rest = lists(items, index, sets.select("ik", F.explode(others).alias("p"))).withColumn(
         "key", F.xxhash64("doc_id", "th", "ik", band(slop))
     )
-    reached = keyed_join(rest, near, [("key", "near")], ["p", "diagonal"], "left_semi", REACH_BYTES, salts=1).drop("key")
+    reached = keyed_join(rest, near, [("key", "near")], ["p", "diagonal"], "left_semi", limit=0, salts=1).drop("key")
     return keep(first.unionAll(reached), "offsets")
 
 
