@@ -135,10 +135,11 @@ def repeated_lines(lines: DataFrame, min_line: int = MIN_LINE, min_chars: int =
             F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nameless"),
         )
         .filter("first < last OR (first IS NOT NULL AND nameless > 0)")
-        .select("h", "first")
+        .select(F.col("h").alias("shared"), "first")
     )
+    held = keyed_join(long_ones, keep(holders, "holders"), [("h", "shared")], ["doc_id", "th"], "inner")
     pairs = keep(
-        long_ones.join(holders, "h").filter("doc_id IS NULL OR doc_id > first").select("first", "doc_id", "th").distinct(),
+        held.filter("doc_id IS NULL OR doc_id > first").select("first", "doc_id", "th").distinct(),
         "pairs",
     )
     size = lines.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "hashes", "sizes")
