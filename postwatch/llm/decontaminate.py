@@ -66,16 +66,15 @@ def postings(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """``(ik, sets)``: for each window that can occur, the item positions of its rarest terms."""
-    frequency = index.groupBy("term").agg(F.count("*").alias("n"))
+    frequency = keep(index.groupBy(F.col("term").alias("counted")).agg(F.count("*").alias("n")), "frequency")
     span = F.least(F.size("w"), F.lit(window))
     parts = (
         items.select("ik", "w", F.explode(F.sequence(F.lit(0), F.size("w") - span)).alias("s"))
         .select("ik", "s", F.posexplode(F.slice("w", F.col("s") + 1, span)).alias("j", "word"))
         .select("ik", "s", (F.col("s") + F.col("j")).alias("p"), F.hash("word").alias("term"))
-        .join(frequency, "term", "left")
     )
     return (
-        parts.groupBy("ik", "s")
+        keyed_join(parts, frequency, [("term", "counted")], ["ik", "p"]).groupBy("ik", "s")
         .agg(
             F.array_sort(F.collect_list(F.struct("n", "p"))).alias("by_n"),
             F.count(F.when(F.col("n").isNull(), 1)).alias("unknown"),
