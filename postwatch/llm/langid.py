@@ -134,7 +134,7 @@ def counts(batches, label: str, text: str):
     for name, n in total.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["label", "bucket", "n"]
+            [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["label", "bucket", "n"]
         )
 
 
