@@ -1,8 +1,8 @@
 """Jobs from the command line: ``spark-submit`` or ``python -m postwatch JOB ...``
 
     ingest  --messages DIR | --kafka SERVERS --topic T   --checkpoint DIR [--once]
-            --stop-words FILE --tables DIR [--terms a,b]
-    replay  --raw DIR --stop-words FILE --tables DIR [--terms a,b]
+            --stop-words FILE --tables DIR [--terms a,b] [--places DIR] [--max-offsets N] [--max-files N]
+    replay  --raw DIR --stop-words FILE --tables DIR [--terms a,b] [--places DIR]
     rollup  --tables DIR --store DIR [--from TIME] [--to TIME] [--window]
 
 TIME is like ``2018-10-16 00:00:00 -0400``.  A roll-up takes all windows, those from ``--from`` on, those
@@ -13,13 +13,14 @@ before it.
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from postwatch.functions import clock
-from postwatch.functions.words import TERMS
+from postwatch.functions.words import TERMS, read_words
+from postwatch.operators import lookup
 from postwatch.plans import ingest, store
+from postwatch.session import keep
 from postwatch.sources import messages
 from postwatch.streaming import ingest as stream_ingest
 
@@ -36,6 +37,12 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     source = jobs.choices["ingest"].add_mutually_exclusive_group(required=True)
     source.add_argument("--messages")
     source.add_argument("--kafka")
+    # The backlog after a long stop is taken in batches of this many messages or files.
+    jobs.choices["ingest"].add_argument("--max-offsets", type=int, default=1_000_000)
+    jobs.choices["ingest"].add_argument("--max-files", type=int, default=1_000)
+    for name in ("ingest", "replay"):
+        # A table of places (place, country_code, rank).
+        jobs.choices[name].add_argument("--places")
     jobs.choices["ingest"].add_argument("--topic")
     jobs.choices["ingest"].add_argument("--checkpoint", required=True)
     jobs.choices["ingest"].add_argument("--once", action="store_true")
@@ -62,14 +69,17 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             counted = store.backfill(derived, start, end)
         store.update_store(counted, args.store)
         return
-    settings = ingest.Settings(args.terms, Path(args.stop_words).read_text(encoding="utf-8").split())
+    places = None
+    if args.places:
+        places = keep(lookup.best_places(spark.read.parquet(args.places)), "places")
+    settings = ingest.Settings(args.terms, read_words(args.stop_words), places)
     if args.job == "replay":
         ingest.replay_tables(spark.read.parquet(args.raw), settings, args.tables)
         return
     if args.kafka:
-        stream = messages.stream_from_kafka(spark, args.kafka, args.topic)
+        stream = messages.stream_from_kafka(spark, args.kafka, args.topic, args.max_offsets)
     else:
-        stream = messages.stream_from_files(spark, args.messages)
+        stream = messages.stream_from_files(spark, args.messages, args.max_files)
     stream_ingest.start_ingest(
         stream, settings, args.tables, args.checkpoint, once=args.once
     ).awaitTermination()

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.functions import clock
-from postwatch.functions.words import read_word_block
+from postwatch.functions.words import read_words
 from postwatch.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-# The stop words are a parameter of the keyword operators; the project's list is in its fixtures.
-STOP_WORDS = read_word_block(Path(__file__).parents[2] / "FIXTURES.md", "Stop words")
+# The stop words are a parameter of the keyword operators.
+STOP_WORDS = read_words(Path(__file__).parents[1] / "data" / "stop_words.txt")
 
 # Terms that occur in the given texts.
 TERMS = ["that", "with", "und", "des", "que"]

@@ -119,7 +119,13 @@ _split(
   CASE WHEN r >= n - floor(n * 0.3) THEN 'valid' ELSE 'train' END AS split FROM r""",
     lambda df: ordinal.split_tail(df, "vec_id", 0.3),
 )
-_split("split_hash", None, lambda df: ordinal.split_hash(df, "vec_id"))
+_split(
+    "split_hash",
+    """SELECT vec_id, label,
+  CASE WHEN CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2000
+       THEN 'valid' ELSE 'train' END AS split FROM embeddings""",
+    lambda df: ordinal.split_hash(df, "vec_id"),
+)
 
 
 # Predictions: the place of the greatest number of a vector, in three classes.

@@ -23,15 +23,16 @@ def sql_tokenizer(text: str) -> str:
       '{_SEPARATORS}', '{_SPACES}'), '[ \\t\\n]'), lambda w: w <> '')"""
 
 
-def sql_vocabulary(table: str, num_words: int) -> str:
+def sql_vocabulary(table: str, num_words: int | None = None) -> str:
+    bound = "" if num_words is None else f"LIMIT {num_words - 2}"
     return f"""
   SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 1 AS INTEGER) AS idx, n
   FROM (SELECT word, count(*) AS n
         FROM (SELECT unnest({sql_tokenizer("text")}) AS word FROM {table}) GROUP BY word
-        ORDER BY n DESC, word LIMIT {num_words - 2})"""
+        ORDER BY n DESC, word {bound})"""
 
 
-@query("vocab_fit", sql_vocabulary("documents", 10000))
+@query("vocab_fit", sql_vocabulary("documents"))
 def vocab_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.fit_vocabulary(B.documents(spark, sf_dir))
 
@@ -44,7 +45,7 @@ s AS (SELECT doc_id, pos, coalesce(idx, 1) AS idx FROM w LEFT JOIN v USING (word
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = B.documents(spark, sf_dir)
-    vocabulary = features.fit_vocabulary(documents)
+    vocabulary = features.kept_words(features.fit_vocabulary(documents), features.NUM_WORDS)
     return features.texts_to_sequences(documents, ["doc_id"], vocabulary)
 
 
@@ -172,7 +173,8 @@ def sentence_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrices of all turns; shown by their shape, their sum, and a sum weighted by place."""
     turns = B.conversations(spark, sf_dir).withColumn("text", F.lower("text"))
     # The most frequent words get the stored vectors.
-    vocabulary = features.fit_vocabulary(B.conversations(spark, sf_dir))
+    fitted = features.fit_vocabulary(B.conversations(spark, sf_dir))
+    vocabulary = features.kept_words(fitted, features.NUM_WORDS)
     stored = vector_words(spark, sf_dir).drop("word")
     words = vocabulary.join(stored, vocabulary["idx"] - 2 == stored["vec_id"]).select("idx", "word", "vec")
     known = keep(features.with_special_rows(words, ["idx"], seed=None), "word_vectors")
@@ -211,11 +213,11 @@ def oov_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "oov_per_doc",
     f"""{OOV}
-SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS words, count(*) AS n_unknown
-FROM o GROUP BY doc_id""",
+SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY pos), '') AS words, count(word) AS n_unknown
+FROM documents LEFT JOIN o USING (doc_id) GROUP BY doc_id""",
 )
 def oov_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.unknown_per_text(_oov(spark, sf_dir), "doc_id")
+    return features.unknown_per_text(_oov(spark, sf_dir), B.table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("oov_totals", f"{OOV}\nSELECT count(*) AS total, count(DISTINCT word) AS distinct_words FROM o")

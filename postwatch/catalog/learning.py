@@ -126,7 +126,7 @@ def text_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     labeled = B.documents(spark, sf_dir).join(labels, "doc_id").select(
         "doc_id", "text", F.col("quality").alias("label")
     )
-    vocabulary = features.fit_vocabulary(labeled)
+    vocabulary = features.kept_words(features.fit_vocabulary(labeled), features.NUM_WORDS)
     stored = vector_words(spark, sf_dir).drop("word")
     words = vocabulary.join(stored, vocabulary["idx"] - 2 == stored["vec_id"]).select("idx", "word", "vec")
     known = keep(features.with_special_rows(words, ["idx"]), "word_vectors")

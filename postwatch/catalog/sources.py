@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from postwatch.functions import clock
 from postwatch.functions import text as X
 from postwatch.operators import ordinal, rollup
 from postwatch.operators import posts as P
-from postwatch.plans import ingest
+from postwatch.plans import ingest, store
 from postwatch.session import keep, new_folder
 from postwatch.sources import delimited, messages, tables, word_vectors
 
@@ -45,17 +47,23 @@ def publish_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "json_decode",
     """SELECT event_id,
-       CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k,
-       event_type = 'error' AS is_bad
+       CASE WHEN event_type <> 'error' AND event_id % 10 > 2
+            THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k,
+       event_type = 'error' OR event_id % 10 <= 2 AS is_bad
 FROM events""",
 )
 def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.table(spark, sf_dir, "events")
-    # Messages of one type have lost their closing brace.
+    # Messages of one type have lost their closing brace; others are null, empty, or lack the field.
     cut = F.regexp_replace("props", "[}]$", "")
-    sent = events.withColumn("value", F.when(F.col("event_type") == "error", cut)
-                             .otherwise(F.col("props")))
-    decoded = messages.decode(sent, schemas.fields(k=T.IntegerType()), keep_columns=("event_id",))
+    digit = F.col("event_id") % 10
+    value = (
+        F.when(digit == 0, F.lit(None)).when(digit == 1, "").when(digit == 2, "{}")
+        .when(F.col("event_type") == "error", cut).otherwise(F.col("props"))
+    )
+    decoded = messages.decode(
+        events.withColumn("value", value), schemas.fields(k=T.IntegerType()), keep_columns=("event_id",), required=["k"]
+    )
     bad = F.col(messages.BAD).isNotNull()
     return decoded.select("event_id", F.when(~bad, F.col("k")).alias("k"), bad.alias("is_bad"))
 
@@ -63,16 +71,22 @@ def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "raw_landing",
     f"""WITH {B.OWN}
-SELECT id_str AS twitter_id, created_at, screen_name, full_text FROM own""",
+SELECT id_str AS twitter_id, created_at, screen_name, full_text, doc_id % 7 AS retweet_count,
+       doc_id AS place
+FROM own""",
 )
 def raw_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = B.posts(spark, sf_dir).select(*schemas.POST.fieldNames())
-    landed = keep(messages.raw_rows(P.drop_retweets(posts)), "raw_tweet")
+    """Messages have fields that no schema names; they land too."""
+    more = [(F.col("doc_id") % 7).alias("retweet_count"), F.struct(F.col("doc_id").alias("place")).alias("geo")]
+    sent = B.posts(spark, sf_dir).select(F.to_json(F.struct(*schemas.POST.fieldNames(), *more)).alias("value"))
+    landed = keep(messages.raw_rows(P.drop_retweets(messages.good(messages.decode(sent)))), "raw_tweet")
     return landed.select(
         "twitter_id",
         F.get_json_object("json", "$.created_at").alias("created_at"),
         F.get_json_object("json", "$.user.screen_name").alias("screen_name"),
         F.get_json_object("json", "$.extended_tweet.full_text").alias("full_text"),
+        F.get_json_object("json", "$.retweet_count").cast("long").alias("retweet_count"),
+        F.get_json_object("json", "$.geo.place").cast("long").alias("place"),
     )
 
 
@@ -132,6 +146,51 @@ def rollup_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STORE_BACKFILL = f"""WITH {B.OWN},
+tagged AS (SELECT disease, ts FROM ({B.sql_tagged('own')})),
+items AS (
+  SELECT 'disease' AS store, ts, disease AS item FROM tagged
+  UNION ALL SELECT 'keywords', ts, keyword FROM ({B.sql_keywords('own')})
+  UNION ALL SELECT 'hashtags', ts, unnest(hashtags) FROM own
+  UNION ALL SELECT 'users', ts, user_id FROM own),
+range AS (SELECT date_trunc('day', min(ts)) - INTERVAL 2 DAYS AS a,
+                 date_trunc('day', max(ts)) + INTERVAL 3 DAYS AS b FROM events),
+ends AS (SELECT unnest(generate_series(a + INTERVAL 6 HOURS, b, INTERVAL 6 HOURS)) AS e FROM range),
+total AS (SELECT {B.sql_end('ts')} AS e, count(*) AS n FROM tagged GROUP BY ALL)
+SELECT store, {B.sql_moment(B.sql_end('ts'))} AS window_end, item, count(*) AS mentions FROM items GROUP BY ALL
+UNION ALL
+SELECT 'tweet_count', {B.sql_moment('ends.e')}, '', coalesce(n, 0) FROM ends LEFT JOIN total USING (e)"""
+
+
+@query("store_backfill", STORE_BACKFILL)
+def store_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five tables over a range wider than the data, written twice and read back."""
+    own = P.drop_retweets(B.posts(spark, sf_dir))
+    derived = {
+        "tb_tweet": P.tagged_posts(own, B.TERMS, ["ts"]), "tb_user": P.user_rows(own, ["ts"]),
+        "tb_keyword": P.keyword_rows(own, B.STOP_WORDS, ["ts"]), "tb_hashtag": P.hashtag_rows(own, ["ts"]),
+    }
+    events = B.table(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    a, b = events.select(
+        F.expr("date_trunc('day', a) - INTERVAL 2 DAYS").cast("timestamp_ntz"),
+        F.expr("date_trunc('day', b) + INTERVAL 3 DAYS").cast("timestamp_ntz"),
+    ).first()
+    borders = [F.lit(x).cast("timestamp_ntz") for x in (a, b)]
+    folder = new_folder(spark, "store")
+    for _ in range(2):
+        store.update_store(store.backfill(derived, *borders, day_start=None), folder)
+    names = {"disease": "disease_name", "keywords": "keyword_text", "hashtags": "hashtag_text", "users": "id_user"}
+    parts = [
+        store.read_store(spark, folder, name).select(
+            F.lit(name).alias("store"), B.moment(F.col("window_end")).alias("window_end"),
+            F.col(names[name]).alias("item") if name in names else F.lit("").alias("item"),
+            F.col("mentions" if name in names else "tcount").alias("mentions"),
+        )
+        for name in [*names, "tweet_count"]
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query(
     "labeled_csv_read",
     r"""SELECT regexp_replace(replace(d.text, chr(10), ' '), '^\s+|\s+$', '', 'g') AS tweet,

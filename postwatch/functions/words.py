@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
 # The followed terms.
 TERMS = ["zika", "flu", "ebola", "measles", "diarrhea"]
 
 
-def read_word_block(path: str | Path, heading: str) -> list[str]:
-    """Words of the first fenced block below the heading that contains ``heading``.
+def read_words(path: str | Path) -> list[str]:
+    """Words of a text file, without the lines that begin with ``#``.
 
     Long word lists (the stop words) live in a text file, not in code; callers pass them on as
     a parameter.
     """
-    text = Path(path).read_text(encoding="utf-8")
-    found = re.search(rf"^#+ .*{re.escape(heading)}.*?^```\n(.*?)^```", text, re.M | re.S)
-    if found is None:
-        raise ValueError(f"no word block below a heading with {heading!r} in {path}")
-    return found.group(1).split()
+    lines = Path(path).read_text(encoding="utf-8").splitlines()
+    return [word for line in lines if not line.startswith("#") for word in line.split()]

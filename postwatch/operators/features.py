@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions import arrays as A
@@ -20,12 +20,12 @@ OOV_INDEX = 1
 NUM_WORDS = 10000
 
 
-def fit_vocabulary(texts: DataFrame, text: str = "text", num_words: int = NUM_WORDS) -> DataFrame:
-    """``(word, idx, n)`` of the most frequent words of the bag-of-words tokenizer.
+def fit_vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``(word, idx, n)`` of all words of the bag-of-words tokenizer, in the order of falling counts.
 
-    Index 0 is the padding, 1 the unknown word, words count from 2; an index below ``num_words``
-    is kept.  Words of equal count go by the alphabet, as rows have no order of first appearance.
-    Words are counted before the shuffle, and the ranking sees ``num_words`` rows.
+    Index 0 is the padding, 1 the unknown word, words count from 2.  Words of equal count go by the
+    alphabet, as rows have no order of first appearance.  Words are counted before the shuffle, and
+    ranked by range, so no task sees all of them.  ``kept_words`` bounds what texts are mapped to.
     """
     counted = (
         texts.select(F.explode(X.tokenizer_parts(F.col(text))).alias("word"))
@@ -33,9 +33,14 @@ def fit_vocabulary(texts: DataFrame, text: str = "text", num_words: int = NUM_WO
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
-    top = counted.orderBy(F.desc("n"), "word").limit(max(num_words - 2, 0))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
-    return keep(top.select("word", (rank + OOV_INDEX).alias("idx"), "n"), "vocabulary")
+    ranked = with_ordinal(counted.withColumn("falling", -F.col("n")), "falling", "word")
+    first = OOV_INDEX + 1
+    return keep(ranked.select("word", (F.col("ordinal") + first).cast("int").alias("idx"), "n"), "vocabulary")
+
+
+def kept_words(vocabulary: DataFrame, num_words: int) -> DataFrame:
+    """The words whose index is below ``num_words``; the others count as unknown when texts are mapped."""
+    return vocabulary.filter(F.col("idx") < num_words)
 
 
 def with_special_rows(words: DataFrame, order: list[str], seed: int | None = 11) -> DataFrame:
@@ -195,12 +200,15 @@ def unknown_words(
     return lookup_join(rows, index.select("word"), "word", [key, "pos"], "left_anti", limit)
 
 
-def unknown_per_text(unknown: DataFrame, key: str) -> DataFrame:
-    """Per text with unknown words: the words in order, and how many they are."""
+def unknown_per_text(unknown: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Of every text: its unknown words in order, and how many they are; no words and 0 where all are known."""
     words = F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda p: p["word"])
-    return unknown.groupBy(key).agg(
+    found = unknown.groupBy(key).agg(
         F.array_join(words, " ").alias("words"), F.count("*").alias("n_unknown")
     )
+    return texts.select(key).join(found, key, "left").select(
+        key, F.coalesce("words", F.lit("")).alias("words"), F.coalesce("n_unknown", F.lit(0)).alias("n_unknown")
+    )
 
 
 def unknown_totals(unknown: DataFrame) -> DataFrame:

@@ -21,8 +21,11 @@ def measured_bytes(df: DataFrame) -> int:
     for field in df.schema.fields:
         if isinstance(field.dataType, T.StringType):
             row = row + F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
-        elif isinstance(field.dataType, T.ArrayType):
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
             row = row + 8 * F.greatest(F.size(field.name), F.lit(0)) + 16
+        elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            # Nested values: their text, doubled for the offsets and sizes of their parts.
+            row = row + 2 * F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0)) + 32
         else:
             row = row + 8
     return df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("b")).first()["b"]

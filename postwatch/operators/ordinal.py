@@ -105,6 +105,8 @@ def split_hash(df: DataFrame, key: str, fraction: float = 0.2) -> DataFrame:
 
     Needs no order, no count and no shuffle, and a row keeps its side when rows are added.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(10000))
+    # The first digits of md5, so that other engines can make the same split.
+    digits = F.substring(F.md5(F.col(key).cast("string")), 1, 8)
+    bucket = F.conv(digits, 16, 10).cast("long") % 10000
     valid = bucket < round(fraction * 10000)
     return df.withColumn("split", F.when(valid, "valid").otherwise("train"))

@@ -18,8 +18,9 @@ HASHTAGS = "extended_tweet.entities.hashtags"
 
 
 def drop_retweets(posts: DataFrame) -> DataFrame:
-    """Keep posts that are not marked as retweets and carry no retweeted post."""
-    return posts.filter(~F.col("retweeted") & F.col("retweeted_status").isNull())
+    """Keep posts that are not marked as retweets and carry no retweeted post; no mark means no retweet."""
+    marked = F.coalesce(F.col("retweeted"), F.lit(False))
+    return posts.filter(~marked & F.col("retweeted_status").isNull())
 
 
 def with_extended_text(posts: DataFrame) -> DataFrame:

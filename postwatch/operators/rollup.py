@@ -6,7 +6,7 @@ The hash aggregation counts before the shuffle, so a hot term or user costs one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postwatch.functions import clock
@@ -58,6 +58,22 @@ def zero_filled(counted: DataFrame, n: str = "tcount") -> DataFrame:
     )
 
 
+def range_ends(spark: SparkSession, start: Column, end: Column, day_start: str | None = None) -> DataFrame:
+    """``window_end`` of every window that the range ``[start, end)`` touches, one row each."""
+    first = clock.window_end(F.col("a"), day_start)
+    last = clock.window_end(F.col("b") - F.expr("INTERVAL 1 MICROSECOND"), day_start)
+    # A window is worked out per row, so the borders are columns of one row.
+    borders = spark.range(1).select(start.alias("a"), end.alias("b")).filter("a < b")
+    firsts = borders.select("b", first.alias("first"))
+    both = firsts.select("first", last.alias("last"))
+    return both.select(F.explode(F.sequence("first", "last", F.expr(f"INTERVAL {clock.WINDOW}"))).alias("window_end"))
+
+
+def filled_range(counted: DataFrame, ends: DataFrame, n: str = "tcount") -> DataFrame:
+    """A count for each window of ``ends``, 0 where there is none; both have one row per window."""
+    return ends.join(counted, "window_end", "left").select("window_end", F.coalesce(n, F.lit(0)).alias(n))
+
+
 def user_counts(df: DataFrame, day_start: str | None = None, ts: str = "ts") -> DataFrame:
     """Rows per window and user, with the user's earliest screen name and location in it.
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwatch.functions import arrays as A
 
-# More query vectors than this do not go into one pass.
-MAX_QUERIES = 256
+# Query vectors that go along with the rows in one pass.
+BLOCK = 256
 
 
 def cosine_of_pairs(
@@ -28,15 +29,19 @@ def most_similar(
 ) -> DataFrame:
     """The ``k`` nearest vectors of each query ``(query, vec)`` by cosine.
 
-    The queries are a short list of checked length and go along with each row as a literal; the
-    vectors are read once and stay where they are.  Each task ranks its own rows first, so what is
-    shuffled is ``k`` rows per query and task.
+    The queries are the caller's list, and go along with each row in blocks of ``BLOCK``, one pass over
+    the vectors for each; the vectors stay where they are.  Each task ranks its own rows first, so what
+    is shuffled is ``k`` rows per query and task.
     """
-    listed = queries.select("query", F.col(vec).cast("array<double>").alias("vec"))
-    listed = listed.limit(MAX_QUERIES + 1).collect()
-    if len(listed) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; score them in several passes")
-    literal = F.array(*[F.struct(F.lit(q["query"]).alias("query"), _unit(q["vec"])) for q in listed])
+    listed = queries.select("query", F.col(vec).cast("array<double>").alias("vec")).collect()
+    blocks = [listed[i : i + BLOCK] for i in range(0, len(listed), BLOCK)] or [[]]
+    return reduce(DataFrame.unionAll, [_nearest(block, vectors, key, vec, k, queries) for block in blocks])
+
+
+def _nearest(listed, vectors: DataFrame, key: str, vec: str, k: int, queries: DataFrame) -> DataFrame:
+    kind = queries.schema["query"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<query:{kind},unit:array<double>>>")
+    literal = F.array(*[F.struct(F.lit(q["query"]).cast(kind).alias("query"), _unit(q["vec"])) for q in listed]) if listed else none
     values = F.col(vec).cast("array<double>")
     # The length of a vector is worked out once, not once per query.
     scored = (

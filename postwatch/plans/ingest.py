@@ -51,8 +51,10 @@ def six_tables(posts: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     }
 
 
-def write_tables(tables_: dict[str, DataFrame], folder: str, batch_id: int) -> None:
-    """Write tables below ``folder``; the same batch again replaces its rows.
+def write_tables(
+    tables_: dict[str, DataFrame], folder: str, batch_id: int, whole: bool = False
+) -> None:
+    """Write tables below ``folder``; the same batch again replaces its rows, ``whole`` all batches.
 
     The tables do not depend on each other, so their jobs run side by side and the last tasks of one
     overlap with the first of the next.  If one fails, the call fails.
@@ -60,7 +62,7 @@ def write_tables(tables_: dict[str, DataFrame], folder: str, batch_id: int) -> N
 
     def write(name: str) -> None:
         time = "ts" if name in TIMED else None
-        tables.write_batch(tables_[name], f"{folder}/{name}", batch_id, time)
+        tables.write_batch(tables_[name], f"{folder}/{name}", batch_id, time, whole)
 
     spark = next(iter(tables_.values())).sparkSession
     with ThreadPoolExecutor(len(tables_)) as pool:
@@ -86,9 +88,11 @@ def ingest_batch(decoded: DataFrame, settings: Settings, folder: str, batch_id:
 
 
 def replay_tables(raw: DataFrame, settings: Settings, folder: str) -> None:
-    """Derive the timed tables anew from the raw landing table, in place of an earlier replay.
+    """Derive the timed tables anew from the raw landing table, in place of all that is in them.
+
+    It may write where an ingest wrote: what the ingest derived from the same records is replaced.
 
     The records are parsed once and stored by column; each table then reads only what it needs.
     """
     derived = six_tables(keep(messages.replay(raw), "posts"), settings)
-    write_tables({name: derived[name] for name in sorted(TIMED)}, folder, 0)
+    write_tables({name: derived[name] for name in sorted(TIMED)}, folder, 0, whole=True)

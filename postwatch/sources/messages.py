@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,22 +15,41 @@ from postwatch.operators import posts as P
 ROUND_CAP = 200
 
 BAD = "bad_record"
+# The text a record came as, with the fields outside the schema too.
+SOURCE = "source_text"
+# Fields without which a text is no post.
+REQUIRED = ("id_str",)
+
+
+def source_text(records: DataFrame) -> Column:
+    """The text the records came as; JSON of their columns where they did not come as text."""
+    if SOURCE in records.columns:
+        return F.col(SOURCE)
+    return F.to_json(F.struct(*[c for c in records.columns if c != BAD]))
 
 
 def encode(records: DataFrame) -> DataFrame:
-    """One JSON text ``value`` per record; null fields leave no key."""
-    return records.select(F.to_json(F.struct("*")).alias("value"))
+    """One JSON text ``value`` per record: the text it came as, or its columns without null fields."""
+    return records.select(source_text(records).alias("value"))
 
 
 def decode(messages: DataFrame, schema: T.StructType = schemas.POST, column: str = "value",
-           keep_columns: tuple[str, ...] = ()) -> DataFrame:
-    """The fields of ``schema``, and ``bad_record`` with the text of what is no such record.
+           keep_columns: tuple[str, ...] = (), required: Sequence[str] = REQUIRED) -> DataFrame:
+    """The fields of ``schema``, ``source_text``, and ``bad_record`` with the text of what is no such record.
 
-    A bad message does not fail the batch: filter on ``bad_record`` to put it aside.
+    A bad message does not fail the batch: filter on ``bad_record`` to put it aside.  A null or empty
+    text and a record without a ``required`` field are bad as well; the null text is put aside as the
+    empty one.  So every message is either a record or a bad one.
     """
     with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
     parsed = F.from_json(F.col(column), with_bad, {"columnNameOfCorruptRecord": BAD})
-    return messages.select(*keep_columns, parsed.alias("r")).select(*keep_columns, "r.*")
+    # Behind the explode the text is parsed once, however often the fields are tested.
+    rows = messages.select(*keep_columns, F.col(column).alias(SOURCE), F.explode(F.array(parsed)).alias("r"))
+    bad = F.col("r").isNull() | F.col(f"r.{BAD}").isNotNull() | (F.trim(SOURCE) == "")
+    for name in required:
+        bad = bad | F.col(f"r.{name}").isNull()
+    aside = F.when(F.coalesce(bad, F.lit(True)), F.coalesce(SOURCE, F.lit("")))
+    return rows.select(*keep_columns, *[f"r.{n}" for n in schema.fieldNames()], SOURCE, aside.alias(BAD))
 
 
 def good(decoded: DataFrame) -> DataFrame:
@@ -41,14 +62,14 @@ def publish_round(posts: DataFrame, order: list[str], cap: int = ROUND_CAP) -> D
     The cap is the feature.  A stream caps its source instead (``max_offsets``, ``max_files``).
     """
     first = P.with_extended_text(posts).orderBy(*order).limit(cap)
-    return first.select(F.col("id_str").alias("key"), F.to_json(F.struct("*")).alias("value"))
+    return first.select(F.col("id_str").alias("key"), source_text(first).alias("value"))
 
 
 def raw_rows(posts: DataFrame) -> DataFrame:
-    """Raw landing table: id, whole record as JSON, processing time."""
+    """Raw landing table: id, whole record as it came, processing time."""
     return posts.select(
         F.col("id_str").alias("twitter_id"),
-        F.to_json(F.struct(*posts.columns)).alias("json"),
+        source_text(posts).alias("json"),
         F.current_timestamp().alias("inserted_tweet"),
     )
 

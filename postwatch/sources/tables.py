@@ -13,9 +13,13 @@ def append_table(df: DataFrame, database: str, table: str) -> None:
     df.write.mode("append").format("parquet").saveAsTable(f"{database}.{table}")
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, time: str | None = None) -> None:
+def write_batch(
+    df: DataFrame, path: str, batch_id: int, time: str | None = None, whole: bool = False
+) -> None:
     """Write the rows of one micro-batch; writing the same batch again replaces it.
 
+    With ``whole`` the rows take the place of all batches of the table.
+
     With ``time``, the name of a timestamp column, the rows are laid out by day, so later range
     filters prune files.  Posts come, and are landed, in the order of time, so a task has rows of
     few days and writes few files; nothing is shuffled for it.
@@ -27,7 +31,7 @@ def write_batch(df: DataFrame, path: str, batch_id: int, time: str | None = None
     (
         df.withColumn("batch_id", F.lit(batch_id))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy(*days, "batch_id")
         .parquet(path)
     )
@@ -48,6 +52,17 @@ def write_rollup(df: DataFrame, path: str) -> None:
     )
 
 
+def write_run(df: DataFrame, path: str, run: str) -> None:
+    """Write a roll-up under the name of a run, beside those of other runs."""
+    (
+        df.withColumn("run", F.lit(run))
+        .hint("rebalance", "window_end")
+        .write.mode("append")
+        .partitionBy("run")
+        .parquet(path)
+    )
+
+
 def write_rollup_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
     """Append a roll-up to a relational store from the executors.  Needs the store's driver."""
     df.write.jdbc(url, table, mode="append", properties=properties)

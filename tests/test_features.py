@@ -85,7 +85,7 @@ def test_vocabulary_order_and_limit(spark):
     df = texts(spark, "Flu, flu! zika", "ebola zika measles")
     got = [(r["word"], r["idx"], r["n"]) for r in features.fit_vocabulary(df).orderBy("idx").collect()]
     assert got == [("flu", 2, 2), ("zika", 3, 2), ("ebola", 4, 1), ("measles", 5, 1)]
-    small = features.fit_vocabulary(df, num_words=4)
+    small = features.kept_words(features.fit_vocabulary(df), 4)
     assert [r["word"] for r in small.orderBy("idx").collect()] == ["flu", "zika"]
     got = features.texts_to_sequences(df, ["id"], small)
     assert arrays(got) == [[2, 2, 3], [1, 3, 1]]
@@ -97,8 +97,8 @@ def test_unknown_words(spark, limit):
     df = texts(spark, "a x b y x", "a", "")
     index = spark.createDataFrame([("a", 1), ("b", 2)], "word STRING, idx INT")
     unknown = features.unknown_words(df, "id", index, limit=limit)
-    got = [tuple(r) for r in features.unknown_per_text(unknown, "id").collect()]
-    assert got == [(0, "x y x", 3)]
+    got = sorted(tuple(r) for r in features.unknown_per_text(unknown, df, "id").collect())
+    assert got == [(0, "x y x", 3), (1, "", 0), (2, "", 0)]
     assert tuple(features.unknown_totals(unknown).first()) == (3, 2)
     none = features.unknown_words(df.filter("id = 1"), "id", index, limit=limit)
     assert tuple(features.unknown_totals(none).first()) == (0, 0)
@@ -140,5 +140,12 @@ def test_most_similar_against_all_pairs(spark):
     for q in range(3):
         best = np.argsort(-(unit @ unit[q]), kind="stable")[:4]
         assert [got[(q, p)] for p in range(1, 5)] == list(best)
-    with pytest.raises(ValueError):
-        vectors.most_similar(spark.range(300).select(F.col("id").alias("query"), F.array(F.lit(1.0)).alias("vec")), df, "id", "vec")
+
+
+
+def test_most_similar_of_many_queries(spark):
+    """More queries than a block: each is nearest to its own vector."""
+    df = spark.range(300).select("id", F.array(F.cos(F.col("id") / 100), F.sin(F.col("id") / 100)).alias("vec"))
+    got = vectors.most_similar(df.withColumnRenamed("id", "query"), df, "id", "vec", 1).collect()
+    assert {r["query"]: r["id"] for r in got} == {i: i for i in range(300)}
+    assert vectors.most_similar(df.limit(0).withColumnRenamed("id", "query"), df, "id", "vec").count() == 0

@@ -1,6 +1,7 @@
 import json
 
 from postwatch.__main__ import arguments, run
+from postwatch.plans import store
 
 
 def test_from_messages_to_the_store(spark, post, tmp_path):
@@ -21,8 +22,8 @@ def test_from_messages_to_the_store(spark, post, tmp_path):
     for times in ([], ["--to", "2018-10-17 00:00:00 -0400"],
                   ["--from", "2018-10-16 00:00:00 -0400", "--to", "2018-10-17 00:00:00 -0400"]):
         run(spark, arguments(["rollup", "--tables", folder, "--store", kept, *times]))
-    rows = spark.read.parquet(f"{kept}/keywords").collect()
+    rows = store.read_store(spark, kept, "keywords").collect()
     got = sorted((r["window_end"].strftime("%d %H"), r["keyword_text"], r["mentions"]) for r in rows)
     assert got == [("16 04", "flu", 1), ("16 04", "season", 1), ("17 04", "flu", 1)]
-    totals = spark.read.parquet(f"{kept}/tweet_count").orderBy("window_end").collect()
+    totals = store.read_store(spark, kept, "tweet_count").orderBy("window_end").collect()
     assert [r["tcount"] for r in totals] == [1, 0, 0, 0, 1]

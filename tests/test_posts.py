@@ -10,8 +10,9 @@ def ids(df, column="id_str"):
 
 
 def test_drop_retweets(posts, post):
+    # No mark means no retweet.
     df = posts(post("1"), post("2", retweeted=True), post("3", status="9"), post("4", retweeted=None))
-    assert ids(P.drop_retweets(df)) == ["1"]
+    assert ids(P.drop_retweets(df)) == ["1", "4"]
 
 
 def test_extended_text(posts, post):

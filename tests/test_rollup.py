@@ -87,7 +87,7 @@ def test_store(spark, posts, post, stop_words, tmp_path):
     derived = {k: v.withColumn("ts", ts) for k, v in tb.items()}
     counted = store.backfill(derived)
     store.update_store(counted, str(tmp_path))
-    read = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in counted}
+    read = {n: store.read_store(spark, str(tmp_path), n) for n in counted}
     assert shown(read["tweet_count"], "tcount") == [
         ("2018-10-16 04:00", 2), ("2018-10-16 10:00", 0), ("2018-10-16 16:00", 0), ("2018-10-16 22:00", 1)]
     assert shown(read["disease"], "disease_name", "mentions") == [
@@ -101,7 +101,20 @@ def test_store(spark, posts, post, stop_words, tmp_path):
 
     # A range of windows; one window of any length; the six hours before a time.
     day = [clock.border(f"2018-10-16 {h:02d}:00:00 -0400") for h in (0, 18)]
-    assert shown(store.backfill(derived, *day)["tweet_count"], "tcount") == [("2018-10-16 22:00", 1)]
+    assert shown(store.backfill(derived, *day)["tweet_count"], "tcount") == [
+        ("2018-10-16 10:00", 0), ("2018-10-16 16:00", 0), ("2018-10-16 22:00", 1)]
+    wide = [clock.border(f"2018-10-{d} 00:00:00 -0400") for d in (20, 22)]
+    assert [n for _, n in shown(store.backfill(derived, *wide)["tweet_count"], "tcount")] == [0] * 8
+
+    # A window that has lost its rows is empty after a re-run, the others stay.
+    fewer = {n: rows.filter("ts < '2018-10-16 12:00:00'") for n, rows in derived.items()}
+    late = [clock.border(f"2018-10-16 {h:02d}:00:00 -0400") for h in (12, 18)]
+    store.update_store(store.backfill(fewer, *late), str(tmp_path))
+    after = {n: store.read_store(spark, str(tmp_path), n) for n in counted}
+    assert shown(after["tweet_count"], "tcount") == [
+        ("2018-10-16 04:00", 2), ("2018-10-16 10:00", 0), ("2018-10-16 16:00", 0), ("2018-10-16 22:00", 0)]
+    assert shown(after["disease"], "disease_name") == [("2018-10-16 04:00", "flu"), ("2018-10-16 04:00", "zika")]
+    assert after["keywords"].filter("window_end > '2018-10-16 20:00:00'").count() == 0
     window = store.one_window(derived, clock.border("2018-10-15 23:00:00 -0400"), day[0])
     assert shown(window["tweet_count"], "tcount") == [("2018-10-16 04:00", 2)]
     assert shown(window["hashtags"], "hashtag_text", "mentions") == [("2018-10-16 04:00", "h", 1)]

@@ -18,15 +18,42 @@ def write(path, text, encoding="utf-8"):
 def test_decode_keeps_bad_messages_apart(spark, post):
     sent = [json.dumps(post("1", "flu", ["x"])), "{broken", json.dumps({"id_str": "2"})]
     decoded = messages.decode(spark.createDataFrame([(s,) for s in sent], "value STRING"))
-    assert decoded.columns == [*schemas.POST.fieldNames(), messages.BAD]
+    assert decoded.columns == [*schemas.POST.fieldNames(), messages.SOURCE, messages.BAD]
     assert [r["id_str"] for r in messages.good(decoded).orderBy("id_str").collect()] == ["1", "2"]
     bad = decoded.filter(F.col(messages.BAD).isNotNull()).collect()
     assert [r[messages.BAD] for r in bad] == ["{broken"]
 
 
+def test_no_message_is_lost(spark, stop_words, post, tmp_path):
+    """Every message is landed, a retweet, or set aside; what is landed is the text as it came."""
+    whole = json.dumps({**post("1", "flu"), "coordinates": [1.5, 2], "retweet_count": 3})
+    unmarked = json.dumps({"id_str": "2"})
+    sent = [whole, unmarked, json.dumps(post("3", status="1")), "{}", "", None, "[1]", "{broken"]
+    decoded = messages.decode(spark.createDataFrame([(s,) for s in sent], "value STRING"))
+    ingest.ingest_batch(decoded, ingest.Settings(["flu"], stop_words), str(tmp_path), 0)
+    landed = [r["json"] for r in spark.read.parquet(f"{tmp_path}/raw_tweet").collect()]
+    assert sorted(landed) == sorted([whole, unmarked])
+    bad = [r[messages.BAD] for r in spark.read.parquet(f"{tmp_path}/bad_message").collect()]
+    assert sorted(bad) == ["", "", "[1]", "{broken", "{}"]
+    published = messages.encode(messages.good(decoded)).collect()
+    assert whole in [r["value"] for r in published]
+
+
+def test_replay_into_the_tables_of_an_ingest(spark, stop_words, post, tmp_path):
+    settings = ingest.Settings(["flu"], stop_words)
+    for batch in range(3):
+        sent = [json.dumps(post(str(batch), "the flu season", ["x"]))]
+        decoded = messages.decode(spark.createDataFrame([(s,) for s in sent], "value STRING"))
+        ingest.ingest_batch(decoded, settings, str(tmp_path), batch)
+    before = {n: spark.read.parquet(f"{tmp_path}/{n}").count() for n in ingest.TIMED}
+    ingest.replay_tables(spark.read.parquet(f"{tmp_path}/raw_tweet"), settings, str(tmp_path))
+    after = {n: spark.read.parquet(f"{tmp_path}/{n}").count() for n in ingest.TIMED}
+    assert before == after == {"tb_tweet": 3, "tb_user": 3, "tb_hashtag": 3, "tb_keyword": 6}
+
+
 def test_records_survive_the_round_trip(posts, post):
     df = posts(post("1", "a \"quote\"\n—é", ["x", "y"], location="L"), post("2", extended=False))
-    back = messages.good(messages.decode(messages.encode(df)))
+    back = messages.good(messages.decode(messages.encode(df))).drop(messages.SOURCE)
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
@@ -34,7 +61,7 @@ def test_raw_rows_replay(posts, post):
     df = posts(post("1", "flu", ["x"]), post("2", status="1"))
     raw = messages.raw_rows(df)
     assert raw.columns == ["twitter_id", "json", "inserted_tweet"]
-    assert sorted(map(str, messages.replay(raw).collect())) == sorted(map(str, df.collect()))
+    assert sorted(map(str, messages.replay(raw).drop(messages.SOURCE).collect())) == sorted(map(str, df.collect()))
 
 
 def test_publish_round(posts, post):
