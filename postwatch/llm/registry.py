@@ -15,12 +15,19 @@ SQL: dict[str, str] = {}
 
 _shipped: set[str] = set()
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts are longer than most rows; Spark's own number of rows would make batches of tens of MB.
+TEXT_ROWS = 2000
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once per application.
 
-    Where it is installed on all machines already, this changes nothing.
+    Where it is installed on all machines already, this changes nothing.  Arrow batches get ``TEXT_ROWS``
+    rows, unless the session has been given another number.
     """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, TEXT_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
