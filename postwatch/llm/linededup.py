@@ -1,11 +1,13 @@
 """Line de-duplication by pairwise alignment with patience diff.
 
-Documents that share a line are found through the lines' hashes.  A line of at least ``MIN_LINE`` code
-points leads from every document that has it to its earliest holder, the document with the smallest
-id; so a line in a third of all documents gives one pair for each of them, not a pair for any two, and no
-line is too frequent to be used.  Every pair is aligned with patience diff, and blocks of consecutive
-lines that are aligned, of at least ``MIN_CHARS`` code points together, are deleted from the later
-document.  Blocks are judged on the input texts, not on what other pairs leave.
+Documents that share lines are found through the lines' hashes.  From each line on, as many lines are taken as
+make ``MIN_CHARS`` code points, often the line alone; such a run is rare where a single short line is not, and
+every block that can be deleted begins with one.  A run leads from every document that has it to its
+earliest holder, the document with the smallest id; so a run in a third of all documents gives one pair for
+each of them, not a pair for any two, and no run is too frequent to be used.  Every pair is aligned with
+patience diff, and blocks of consecutive lines that are aligned, of at least ``MIN_CHARS`` code points
+together, are deleted from the later document.  Blocks are judged on the input texts, not on what other
+pairs leave.
 
 Only line hashes travel.  A document that very many others are aligned with is copied over several
 tasks, each with a bounded number of lines to compare, and pairs stream through a task one by one.
@@ -21,6 +23,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,6 @@ from pyspark.sql import types as T
 
 from postwatch.llm.common import fresh, keep, keyed_join, text_hash
 
-MIN_LINE = 20
 MIN_CHARS = 60
 #: Lines that one copy of an earlier document is compared with, about.
 LOAD = 200_000
@@ -121,15 +123,48 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def repeated_lines(lines: DataFrame, min_line: int = MIN_LINE, min_chars: int = MIN_CHARS, load: int = LOAD) -> DataFrame:
+def run_hashes(hashes: np.ndarray, sizes: np.ndarray, min_chars: int = MIN_CHARS) -> np.ndarray:
+    """Distinct hashes of a document's runs: from each non-empty line on, the fewest lines of ``min_chars`` together."""
+    import xxhash
+
+    hashes, sizes = hashes[sizes > 0], sizes[sizes > 0]
+    before = np.append(0, np.cumsum(sizes))
+    stop = np.searchsorted(before, before[:-1] + min_chars, "left")
+    start = np.flatnonzero(stop <= len(hashes))
+    stop = stop[start]
+    out = hashes[start].astype(np.int64)
+    several = np.flatnonzero(stop - start > 1)
+    sent = hashes.astype(np.int64).tobytes()
+    found = (xxhash.xxh64_intdigest(sent[8 * a : 8 * b]) for a, b in zip(start[several].tolist(), stop[several].tolist()))
+    out[several] = np.fromiter(found, np.uint64, len(several)).view(np.int64)
+    return np.unique(out)
+
+
+def runs_of(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(doc_id, th, h)``: the hash of each run of a document, once."""
+    def run(batches):
+        for batch in batches:
+            hashes, sizes = batch.column("hashes"), batch.column("sizes")
+            found = [
+                run_hashes(hashes[i].values.to_numpy(), sizes[i].values.to_numpy(), min_chars)
+                for i in range(batch.num_rows)
+            ]
+            row = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(row), batch.column("th").take(row),
+                 pa.array(np.concatenate([np.zeros(0, np.int64), *found]))],
+                ["doc_id", "th", "h"],
+            )
+
+    schema = T.StructType([lines.schema["doc_id"], lines.schema["th"], T.StructField("h", T.LongType())])
+    return lines.mapInArrow(run, schema)
+
+
+def repeated_lines(lines: DataFrame, min_chars: int = MIN_CHARS, load: int = LOAD) -> DataFrame:
     """``(doc_id, th, removed)``: places of the lines to delete, for documents that have any."""
-    long_ones = (
-        lines.select("doc_id", "th", F.explode(F.arrays_zip("hashes", "sizes")).alias("x"))
-        .filter(F.col("x.sizes") >= min_line)
-        .select("doc_id", "th", F.col("x.hashes").alias("h"))
-    )
+    runs = runs_of(lines, min_chars)
     holders = (
-        long_ones.groupBy("h")
+        runs.groupBy("h")
         .agg(
             F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
             F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nameless"),
@@ -137,7 +172,7 @@ def repeated_lines(lines: DataFrame, min_line: int = MIN_LINE, min_chars: int =
         .filter("first < last OR (first IS NOT NULL AND nameless > 0)")
         .select(F.col("h").alias("shared"), "first")
     )
-    held = keyed_join(long_ones, keep(holders, "holders"), [("h", "shared")], ["doc_id", "th"], "inner")
+    held = keyed_join(runs, keep(holders, "holders"), [("h", "shared")], ["doc_id", "th"], "inner")
     pairs = keep(
         held.filter("doc_id IS NULL OR doc_id > first").select("first", "doc_id", "th").distinct(),
         "pairs",
@@ -202,7 +237,6 @@ def dedupe_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_line: int = MIN_LINE,
     min_chars: int = MIN_CHARS,
     counts: bool = False,
 ) -> DataFrame:
@@ -210,7 +244,7 @@ def dedupe_lines(
     lines = keep(lines_of(docs, id_col, text_col), "lines")
     th, rid, rth, removed, n, total = fresh(docs, "_th", "_r_id", "_r_th", "_removed", "n_removed", "n_lines")
     gone = keep(
-        repeated_lines(lines, min_line, min_chars).select(
+        repeated_lines(lines, min_chars).select(
             F.col("doc_id").alias(rid), F.col("th").alias(rth), F.col("removed").alias(removed)
         ),
         "removed",

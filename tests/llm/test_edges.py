@@ -30,6 +30,11 @@ def test_line_dedup(spark, odd, none):
     more = spark.createDataFrame([(1, text), (2, text.replace("own", "other")), (2, None), (None, text)], "doc_id long, text string")
     got = {(r["doc_id"], r["text"]) for r in linededup.dedupe_lines(more).collect()}
     assert got == {(1, text), (2, "other line"), (2, None), (None, "")}
+    # Two short lines come from two documents, and together from a third one.
+    one, two = "a first line of forty code points, or so", "a second line of forty code points or so"
+    split = [(1, f"{one}\nx"), (2, f"y\n{two}"), (3, f"{one}\n\n{two}"), (4, f"{one}\n{two}\nz"), (5, f"{two}\n{one}")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedupe_lines(spark.createDataFrame(split, "doc_id long, text string")).collect()}
+    assert got == dict(split) | {4: "z"}
     out = linededup.dedupe_lines(odd, counts=True)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"]
     found = out.collect()

@@ -184,18 +184,25 @@ def test_simhash(spark, docs):
 
 
 def test_line_dedup(spark, docs):
-    from postwatch.llm.linededup import BLANKS, MIN_LINE, Earlier
+    from postwatch.llm.linededup import BLANKS, MIN_CHARS, Earlier
+
+    def runs(own):
+        full = [x for x in own if x]
+        for i in range(len(full)):
+            for j in range(i + 1, len(full) + 1):
+                if sum(map(len, full[i:j])) >= MIN_CHARS:
+                    yield tuple(full[i:j])
+                    break
 
     lines = {d: [x.strip(BLANKS) for x in t.split("\n")] for d, t in docs.items()}
     holder = {}
     for d in sorted(docs):
-        for x in lines[d]:
-            if len(x) >= MIN_LINE:
-                holder.setdefault(x, d)
+        for x in runs(lines[d]):
+            holder.setdefault(x, d)
     got = {r["doc_id"]: r for r in rows(spark, "op1_line_dedup")}
     for d, own in lines.items():
         gone = set()
-        for a in {holder[x] for x in own if len(x) >= MIN_LINE} - {d}:
+        for a in {holder[x] for x in runs(own)} - {d}:
             there = [x for x in lines[a]]
             gone |= set(Earlier(there, [len(x) for x in there]).blocks(own, [len(x) for x in own]))
         kept = "\n".join(x for i, x in enumerate(docs[d].split("\n")) if i not in gone)
