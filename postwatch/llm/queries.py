@@ -111,7 +111,44 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
 
 
-@query("op3_chat")
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM (SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (
+  SELECT *, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) + 4 AS n,
+         length('<|turn|><|text|></s>') + list_sum(list_transform([role, text], lambda x:
+           length(x) + length(x) - length(replace(x, '\', '')) + 2 * list_sum(list_transform(
+             ['<|', '<s>', '</s>', '<<SYS>>', '<</SYS>>', '[INST]', '[/INST]'],
+             lambda k: (length(x) - length(replace(x, k, ''))) // length(k))))) AS shown
+  FROM c),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS i, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         first_value(CASE WHEN role = 'system' THEN n ELSE 0 END) OVER w AS system_n,
+         first_value(CASE WHEN role = 'system' THEN shown ELSE 0 END) OVER w AS system_shown
+  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+rest AS (
+  SELECT *, 2 * (place // room) + CASE WHEN (place + n - 1) // room > place // room THEN 1 ELSE 0 END AS win
+  FROM (SELECT *, CAST(start - system_n AS BIGINT) AS place, greatest(512 - 96 - system_n, 128) AS room FROM placed)
+  WHERE i > 0 OR system_n = 0),
+opened AS (SELECT conv_id, win, min(place) AS opens FROM rest GROUP BY ALL),
+again AS (
+  SELECT conv_id, sum(shown) AS shown
+  FROM rest JOIN opened USING (conv_id) WHERE opened.win > rest.win AND n <= 96 AND opens - place <= 96 GROUP BY conv_id),
+n_opened AS (SELECT conv_id, count(*) AS n FROM opened GROUP BY conv_id),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns,
+         coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(shown) AS shown, any_value(system_shown) AS system_shown
+  FROM placed GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(whole.shown + coalesce(again.shown, 0) + (coalesce(n_opened.n, 1) - 1) * system_shown AS BIGINT) AS formatted_chars,
+       coalesce(n_opened.n, 1) AS n_windows
+FROM whole LEFT JOIN again USING (conv_id) LEFT JOIN n_opened USING (conv_id)"""
+
+
+@query("op3_chat", CHAT)
 def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -184,7 +221,26 @@ def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_substring_dedup")
+SUBSTRINGS = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (
+  SELECT doc_id, s, array_to_string(list_slice(w, s + 1, s + 20), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS s FROM d WHERE len(w) >= 20)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p
+  FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM g) WHERE r > 1),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d) ANTI JOIN gone USING (doc_id, p)
+  GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+@query("op7_substring_dedup", SUBSTRINGS)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rlz.dedupe_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -195,7 +251,14 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
-@query("op5_warc")
+ARCHIVES = """
+SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN strlen(html) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 100 AND page_id > first THEN first END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)"""
+
+
+@query("op5_warc", ARCHIVES)
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.select(
