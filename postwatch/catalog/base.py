@@ -68,7 +68,7 @@ def joined(array: Column | str) -> Column:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A post per document, with the event of the same number as its time and user.
+    """A post per document, with the event of the same number, if there is one, as its time and user.
 
     Columns as in ``schemas.POST``, and ``doc_id`` and ``ts``.
     """
@@ -77,7 +77,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0))
     texts = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     events = table(spark, sf_dir, "events")
-    return texts.join(events, texts["doc_id"] == events["event_id"]).select(
+    return texts.join(events, texts["doc_id"] == events["event_id"], "left").select(
         "doc_id",
         "ts",
         F.col("doc_id").cast("string").alias("id_str"),
@@ -122,7 +122,7 @@ posts AS (
               THEN '  Nation_' || json_extract_string(e.props, '$.k') || ',  ' END AS location,
          d.text AS full_text, d.n_chars,
          regexp_extract_all(d.text, '[A-Z][a-z]{5,}') AS hashtags
-  FROM documents d JOIN events e ON d.doc_id = e.event_id
+  FROM documents d LEFT JOIN events e ON d.doc_id = e.event_id
 )"""
 
 # Posts that are no retweets.

@@ -44,9 +44,8 @@ s AS (SELECT doc_id, pos, coalesce(idx, 1) AS idx FROM w LEFT JOIN v USING (word
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = B.documents(spark, sf_dir)
-    vocabulary = features.kept_words(features.fit_vocabulary(documents), features.NUM_WORDS)
-    return features.texts_to_sequences(documents, ["doc_id"], vocabulary)
+    vocabulary = features.kept_words(features.fit_vocabulary(B.documents(spark, sf_dir)), features.NUM_WORDS)
+    return features.texts_to_sequences(B.table(spark, sf_dir, "documents"), ["doc_id"], vocabulary)
 
 
 @query(
@@ -98,7 +97,7 @@ i AS (SELECT doc_id, coalesce(list(idx ORDER BY pos) FILTER (WHERE idx IS NOT NU
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = known_words(spark, sf_dir)
-    lowered = B.documents(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
+    lowered = B.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
     return features.sentence_to_indices(lowered, ["doc_id"], known, _unknown(known))
 
 
@@ -150,7 +149,7 @@ FROM i, l""",
 def pad_to_train_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = known_words(spark, sf_dir)
     length = features.padded_length(B.table(spark, sf_dir, "benchmark"))
-    turns = B.conversations(spark, sf_dir).withColumn("text", F.lower("text"))
+    turns = B.table(spark, sf_dir, "conversations").withColumn("text", F.lower("text"))
     padded = classify.padded_indices(turns, ["conv_id", "turn"], known, _unknown(known), length)
     return padded.withColumn("indices", B.joined("indices"))
 
@@ -171,7 +170,7 @@ GROUP BY t.conv_id, t.turn""",
 )
 def sentence_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrices of all turns; shown by their shape, their sum, and a sum weighted by place."""
-    turns = B.conversations(spark, sf_dir).withColumn("text", F.lower("text"))
+    turns = B.table(spark, sf_dir, "conversations").withColumn("text", F.lower("text"))
     # The most frequent words get the stored vectors.
     fitted = features.fit_vocabulary(B.conversations(spark, sf_dir))
     vocabulary = features.kept_words(fitted, features.NUM_WORDS)

@@ -31,11 +31,10 @@ SELECT id_str AS "key", created_at, length(full_text) AS n_chars
 FROM posts WHERE n_chars > 140 ORDER BY ts, id_str LIMIT 200""",
 )
 def publish_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = B.documents(spark, sf_dir).select("doc_id", "n_chars")
     # Short posts have no extended text.
-    extended = F.when(F.col("n_chars") > 140, F.col("extended_tweet"))
-    posts = B.posts(spark, sf_dir).join(texts, "doc_id").withColumn("extended_tweet", extended)
-    published = messages.publish_round(posts.drop("n_chars"), ["ts", "id_str"])
+    extended = F.when(F.length(P.FULL_TEXT) > 140, F.col("extended_tweet"))
+    posts = B.posts(spark, sf_dir).withColumn("extended_tweet", extended)
+    published = keep(messages.publish_round(posts, ["ts", "id_str"]), "published")
     return published.select(
         "key",
         F.get_json_object("value", "$.created_at").alias("created_at"),

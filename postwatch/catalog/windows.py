@@ -111,17 +111,25 @@ def disease_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "user_rollup",
-    f"""WITH {B.POSTS}
-SELECT {B.sql_moment(B.sql_end("ts"))} AS window_end, user_id AS id_user,
-       arg_min_null(screen_name, struct_pack(a := ts, b := id_str)) AS user_name,
-       arg_min_null(location, struct_pack(a := ts, b := id_str)) AS user_location,
+    f"""SELECT {B.sql_moment(B.sql_end("ts"))} AS window_end, CAST(user_id AS VARCHAR) AS id_user,
+       arg_min_null(screen_name, struct_pack(a := ts, b := id)) AS user_name,
+       arg_min_null(location, struct_pack(a := ts, b := id)) AS user_location,
        count(*) AS mentions
-FROM posts GROUP BY 1, 2""",
+FROM (SELECT ts, user_id, CAST(event_id AS VARCHAR) AS id,
+             'u' || user_id || '_' || coalesce(d.source, '') AS screen_name,
+             CASE WHEN event_type <> 'view' THEN json_extract_string(props, '$.k') END AS location
+      FROM events LEFT JOIN documents d ON doc_id = event_id)
+GROUP BY 1, 2""",
 )
 def user_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = B.posts(spark, sf_dir).select(
-        "ts", F.col("id_str").alias("id_tweet"), F.col("user.id_str").alias("id_user"),
-        "user.screen_name", "user.location",
+    """The users of all events; those with a document of their number are named by its source."""
+    sources = B.table(spark, sf_dir, "documents").select("doc_id", "source")
+    events = B.table(spark, sf_dir, "events")
+    named = F.concat(F.lit("u"), "user_id", F.lit("_"), F.coalesce("source", F.lit("")))
+    users = events.join(sources, events["event_id"] == sources["doc_id"], "left").select(
+        "ts", F.col("event_id").cast("string").alias("id_tweet"), F.col("user_id").cast("string").alias("id_user"),
+        named.alias("screen_name"),
+        F.when(F.col("event_type") != "view", F.get_json_object("props", "$.k")).alias("location"),
     )
     return _ended(rollup.user_counts(users))
 

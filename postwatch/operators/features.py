@@ -78,9 +78,14 @@ def word_index(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.groupBy("word").agg(F.max("idx").cast("int").alias("idx"))
 
 
-def _token_rows(texts: DataFrame, key: list[str], tokens) -> DataFrame:
-    """One row per word and its place; a text without words keeps one row with a null word."""
-    return texts.select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
+def _token_rows(texts: DataFrame, key: list[str], text: str, tokens) -> DataFrame:
+    """One row per word and its place; a text without words keeps one row with a null word.
+
+    The compact texts are shuffled by their key first, so the words of a text are together already when
+    they are regrouped behind a broadcast dictionary.
+    """
+    placed = texts.select(*key, text).repartition(*key)
+    return placed.select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
 
 
 def _indices(rows: DataFrame, key: list[str], unknown: int) -> DataFrame:
@@ -112,7 +117,7 @@ def sentence_to_indices(
     ``index`` is ``(word, idx)``, unique in the word.  ``key`` is unique per text, so a regrouped
     array is no longer than its text.
     """
-    rows = _token_rows(texts, key, X.tokenize(F.col(text)))
+    rows = _token_rows(texts, key, text, X.tokenize(F.col(text)))
     return _indices(lookup_join(rows, index, "word", [*key, "pos"], "left", limit), key, unknown)
 
 
@@ -124,7 +129,7 @@ def texts_to_sequences(
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The same with the tokenizer and the numbering of ``fit_vocabulary``."""
-    rows = _token_rows(texts, key, X.tokenizer_words(F.col(text)))
+    rows = _token_rows(texts, key, text, X.tokenizer_words(F.col(text)))
     index = vocabulary.select("word", "idx")
     return _indices(lookup_join(rows, index, "word", [*key, "pos"], "left", limit), key, OOV_INDEX)
 
@@ -155,7 +160,7 @@ def sentence_to_matrix(
     fallback = table.filter(F.col("idx") == unknown).select("vec").first()["vec"]
     unseen = F.array(*[F.lit(float(x)) for x in fallback])
     zeros = F.array_repeat(F.lit(0.0), len(fallback))
-    rows = _token_rows(texts, key, X.tokenize(F.col(text)))
+    rows = _token_rows(texts, key, text, X.tokenize(F.col(text)))
     found = lookup_join(rows, index, "word", [*key, "pos"], "left", limit)
     pair = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("vec", unseen).alias("vec")))
     matrix = F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["vec"])
