@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from postwatch.llm.common import fresh, keep, keyed_join, text_hash
 
 MIN_CHARS = 60
-#: Lines that one copy of an earlier document is compared with, about.
-LOAD = 200_000
+#: Lines that one copy of an earlier document is compared with, about, unless it has more itself.
+LOAD = 20_000
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -179,9 +179,10 @@ def repeated_lines(lines: DataFrame, min_chars: int = MIN_CHARS, load: int = LOA
     )
     size = lines.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "hashes", "sizes")
     later = pairs.join(size, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).drop("d", "t")
-    loads = keep(
-        later.groupBy("first").agg(F.ceil(F.sum(F.size("hashes")) / F.lit(load)).cast("int").alias("copies")), "loads"
-    )
+    work = keep(later.groupBy("first").agg(F.sum(F.size("hashes")).alias("work")), "work")
+    own = lines.select("doc_id", F.size("hashes").alias("n")).join(work, F.col("doc_id") == F.col("first"))
+    share = F.greatest(F.lit(load), F.sum("n"))
+    loads = keep(own.groupBy("first").agg(F.ceil(F.max("work") / share).cast("int").alias("copies")), "loads")
     earlier = (
         lines.join(loads, F.col("doc_id") == F.col("first"))
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

@@ -32,8 +32,8 @@ def docs():
     return {r["doc_id"]: r["text"] or "" for r in read("documents")}
 
 
-def test_decontamination_sql(spark):
-    name = "op6_decontamination"
+@pytest.mark.parametrize("name", list(SQL))
+def test_sql(spark, name):
     ok, note = compare(spark, connect(SF), name, SF, QUERIES[name], SQL[name])
     assert ok, note
 
