@@ -102,12 +102,24 @@ def svm_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sweep_leaderboard")
 def sweep_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best runs with their settings; every model of the sweep is stored."""
     rows = _vectors(spark, sf_dir)
     runs = classify.sweep(
         classify.weighted(_part(rows, "train")), _part(rows, "valid"),
-        classify.softmax_regression(), classify.grid(classify.SOFTMAX_GRID),
+        classify.softmax_regression(), classify.grid(classify.SOFTMAX_GRID), models=new_folder(spark, "models"),
     )
-    return classify.metrics.leaderboard(runs)
+    return classify.metrics.leaderboard(runs).drop("seconds")
+
+
+@query("cv_grid")
+def cv_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classify.weighted(three_classes(spark, sf_dir).select(
+        "vec_id", "label", array_to_vector("embedding").alias("features")
+    ))
+    found, _ = classify.cross_validated(
+        rows, "vec_id", classify.softmax_regression(maxIter=10), classify.grid({"regParam": [0.001, 0.1]})
+    )
+    return found
 
 
 @query(

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions import arrays as A
 from postwatch.functions import text as X
 from postwatch.operators import features, metrics, ordinal
-from postwatch.session import keep
+from postwatch.session import keep, new_folder
 
 # The swept settings.
 CNN_GRID = {
@@ -131,25 +134,55 @@ def sweep(
     estimator: Estimator,
     settings: Sequence[Mapping],
     parallelism: int = 4,
+    models: str | None = None,
 ) -> DataFrame:
-    """One row per combination: its metrics on ``valid``.  Both need ``features`` and ``label``.
+    """One row per combination: ``run``, its metrics on ``valid``, its settings and the ``seconds`` it took.
 
-    The features are stored once for all runs, several runs are fitted at a time, and all
-    predictions go through one confusion-matrix aggregation.
+    Both tables need ``features`` and ``label``.  The features are stored once for all runs, several runs are
+    fitted at a time, and each stores its one row of metrics.  In the folder ``models`` every fitted
+    model is kept under the name of its run, for ``best_model``.
     """
+    spark = train.sparkSession
     train, valid = keep(train, "train"), keep(valid, "valid")
-
-    def one(setting: Mapping) -> DataFrame:
-        params = {estimator.getParam(k): v for k, v in setting.items()}
-        scored = judged(estimator.fit(train, params).transform(valid))
-        return scored.withColumn("run", F.lit(run_name(setting)))
+    folder = new_folder(spark, "sweep")
+
+    def one(setting: Mapping) -> None:
+        start, name = time.perf_counter(), run_name(setting)
+        model = estimator.fit(train, {estimator.getParam(k): v for k, v in setting.items()})
+        if models is not None:
+            PipelineModel([model]).write().overwrite().save(f"{models}/{name}")
+        found = report(judged(model.transform(valid)).withColumn("run", F.lit(name)), by=["run"])
+        row = keep(found, "metrics")
+        seconds = F.lit(time.perf_counter() - start).alias("seconds")
+        row.select("*", *[F.lit(v).alias(k) for k, v in setting.items()], seconds).write.mode("append").parquet(f"{folder}/{name}")
 
     with ThreadPoolExecutor(parallelism) as pool:
-        runs = list(pool.map(one, settings))
-    scored = runs[0]
-    for run in runs[1:]:
-        scored = scored.unionByName(run)
-    return report(scored, by=["run"])
+        list(pool.map(one, settings))
+    return spark.read.parquet(*[f"{folder}/{run_name(s)}" for s in settings])
+
+
+def best_model(runs: DataFrame, models: str) -> PipelineModel:
+    """The stored model of the best run of a sweep."""
+    return PipelineModel.load(f"{models}/{metrics.leaderboard(runs, 1).first()['run']}")
+
+
+def cross_validated(
+    df: DataFrame, key: str, estimator: Estimator, settings: Sequence[Mapping], folds: int = 3, parallelism: int = 4
+) -> tuple[DataFrame, Model]:
+    """``(run, f1)`` with the mean weighted F1 over the folds of each combination, and the best one's model.
+
+    A row's fold follows from the hash of its ``key``, so reruns use the same folds.  The best model is
+    fitted on all rows.
+    """
+    spark = df.sparkSession
+    fold = F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
+    rows = keep(df.withColumn("_fold", fold), "folds")
+    search = CrossValidator(
+        estimator=estimator, estimatorParamMaps=[{estimator.getParam(k): v for k, v in x.items()} for x in settings],
+        evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, foldCol="_fold", parallelism=parallelism,
+    ).fit(rows)
+    found = [(run_name(x), float(m)) for x, m in zip(settings, search.avgMetrics)]
+    return spark.createDataFrame(found, "run string, f1 double"), search.bestModel
 
 
 def log_runs(reports: DataFrame, path: str) -> None:

@@ -35,15 +35,29 @@ def test_class_weights_go_along(toy):
     assert weights == {1: pytest.approx(15 / 20), 0: pytest.approx(15 / 10)}
 
 
-def test_sweep_has_a_row_per_run(spark):
+def test_sweep_has_a_row_per_run(spark, tmp_path):
     df = spark.createDataFrame([(i % 2, [float(i % 2), 0.1 * i]) for i in range(20)], "label INT, v ARRAY<DOUBLE>")
     df = classify.weighted(df.select("label", array_to_vector("v").alias("features")))
     settings = classify.grid({"regParam": [0.0, 0.1], "maxIter": [5]})
-    runs = classify.sweep(df, df, classify.softmax_regression(), settings).collect()
+    found = classify.sweep(df, df, classify.softmax_regression(), settings, models=str(tmp_path))
+    runs = found.collect()
+    assert {(r["regParam"], r["maxIter"]) for r in runs} == {(0.0, 5), (0.1, 5)} and all(r["seconds"] > 0 for r in runs)
+    best = classify.best_model(found, str(tmp_path))
+    assert classify.report(classify.judged(best.transform(df))).first()["accuracy"] == 1.0
     assert sorted(r["run"] for r in runs) == ["regParam=0.0,maxIter=5", "regParam=0.1,maxIter=5"]
     assert all(r["accuracy"] == 1.0 for r in runs)
 
 
+def test_cross_validation_finds_the_better_setting(spark):
+    df = spark.createDataFrame([(i, i % 2, [float(i % 2), 0.1 * (i % 7)]) for i in range(60)], "k LONG, label INT, v ARRAY<DOUBLE>")
+    df = classify.weighted(df.select("k", "label", array_to_vector("v").alias("features")))
+    settings = classify.grid({"regParam": [0.0, 0.01], "maxIter": [0, 20]})
+    runs, best = classify.cross_validated(df, "k", classify.softmax_regression(), settings)
+    found = {r["run"]: r["f1"] for r in runs.collect()}
+    assert found["regParam=0.0,maxIter=20"] == 1.0 > found["regParam=0.0,maxIter=0"]
+    assert classify.report(classify.judged(best.transform(df))).first()["accuracy"] == 1.0
+
+
 def test_run_log_appends(spark, tmp_path):
     reports = spark.createDataFrame([("r", 0.5)], "run STRING, f1 DOUBLE")
     for _ in range(2):
