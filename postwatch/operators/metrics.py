@@ -87,14 +87,19 @@ def micro_metrics(df: DataFrame, y_true: str, scores: str, by: Sequence[str] = (
     return binary_metrics(cells, by=by)
 
 
-def per_class_metrics(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def per_class_metrics(matrix: DataFrame, by: Sequence[str] = (), labels: Sequence[int] = ()) -> DataFrame:
     """Precision, recall, F1 and specificity of each class, and the accuracy over all classes.
 
     Taken from a long confusion matrix: each cell adds to the row sum of its true class and to the
-    column sum of its predicted class.  Quotients without a base are null.
+    column sum of its predicted class.  Quotients without a base are null.  The classes ``labels`` are
+    there in every run, even where no row has them.
     """
+    none = F.lit(0).cast("long")
+    kind = matrix.schema["y_true"].dataType
     sides = F.explode(
         F.array(
+            *[F.struct(F.lit(x).cast(kind).alias("label"), none.alias("actual"), none.alias("predicted"),
+                       none.alias("hits")) for x in labels],
             F.struct(F.col("y_true").alias("label"), F.col("n").alias("actual"),
                      F.lit(0).cast("long").alias("predicted"),
                      F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)

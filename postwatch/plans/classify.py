@@ -105,7 +105,7 @@ def report(predictions: DataFrame, by: Sequence[str] = (), positive: int = 1) ->
     The rows are read once, into one confusion matrix per run; the rest is arithmetic on it.
     """
     matrix = metrics.confusion_matrix(predictions, by=by)
-    return metrics.per_class_metrics(matrix, by).filter(F.col("label") == positive).drop("label")
+    return metrics.per_class_metrics(matrix, by, [positive]).filter(F.col("label") == positive).drop("label")
 
 
 def grid(values: Mapping[str, Sequence]) -> list[dict]:

@@ -46,6 +46,19 @@ def test_sentence_to_indices(spark, vector_table, limit):
     assert arrays(got) == [[1, 2, 4, 3], [], [], [3, 1, 1]]
 
 
+def test_words_are_regrouped_without_a_shuffle(spark, vector_table):
+    index = features.word_index(vector_table)
+    df = texts(spark, "i love", "").repartition(2)
+    for found in (
+        features.sentence_to_indices(df, ["id"], index, 4),
+        features.sentence_to_matrix(df, ["id"], vector_table, 4, 3),
+    ):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        executed = found._jdf.queryExecution().executedPlan().toString()
+        # The first lines are the last steps: regrouping stands over the words without an exchange between.
+        assert "Generate" in plan and "Exchange hashpartitioning" not in executed[: executed.index("Generate")]
+
+
 def test_last_place_of_a_repeated_word_counts(spark):
     table = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "word STRING, idx LONG")
     assert sorted(map(tuple, features.word_index(table).collect())) == [("a", 3), ("b", 2)]

@@ -78,3 +78,9 @@ def test_gaussian_stats(spark):
     df = spark.createDataFrame([(0, [1.0]), (0, [3.0]), (1, [5.0])], "label INT, v ARRAY<DOUBLE>")
     got = sorted(map(tuple, classify.gaussian_stats(df, "label", "v").collect()))
     assert got == [(0, 0, 2, 2.0, 1.0), (1, 0, 1, 5.0, 0.0)]
+
+
+def test_a_run_without_the_class_is_reported(spark):
+    df = spark.createDataFrame([("a", 0, 0), ("a", 0, 2), ("b", 1, 1)], "run STRING, y_true INT, y_pred INT")
+    got = {r["run"]: (r["accuracy"], r["recall"], r["specificity"]) for r in classify.report(df, by=["run"]).collect()}
+    assert got == {"a": (0.5, None, 1.0), "b": (1.0, 1.0, None)}
