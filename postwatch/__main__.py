@@ -20,7 +20,7 @@ from postwatch.functions import clock
 from postwatch.functions.words import TERMS, read_words
 from postwatch.operators import lookup
 from postwatch.plans import ingest, store
-from postwatch.session import keep
+from postwatch.session import keep, scratch
 from postwatch.sources import messages
 from postwatch.streaming import ingest as stream_ingest
 
@@ -69,6 +69,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             counted = store.backfill(derived, start, end)
         store.update_store(counted, args.store)
         return
+    with scratch(spark):
+        _ingest(spark, args)
+
+
+def _ingest(spark: SparkSession, args: argparse.Namespace) -> None:
     places = None
     if args.places:
         places = keep(lookup.best_places(spark.read.parquet(args.places)), "places")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from postwatch.functions import clock
 from postwatch.operators import lookup
 from postwatch.operators import posts as P
-from postwatch.session import keep
+from postwatch.session import keep, scratch
 from postwatch.sources import messages, tables
 
 
@@ -92,7 +92,9 @@ def replay_tables(raw: DataFrame, settings: Settings, folder: str) -> None:
 
     It may write where an ingest wrote: what the ingest derived from the same records is replaced.
 
-    The records are parsed once and stored by column; each table then reads only what it needs.
+    The records are parsed once and stored by column, for the time of the call; each table then reads only
+    what it needs.
     """
-    derived = six_tables(keep(messages.replay(raw), "posts"), settings)
-    write_tables({name: derived[name] for name in sorted(TIMED)}, folder, 0, whole=True)
+    with scratch(raw.sparkSession):
+        derived = six_tables(keep(messages.replay(raw), "posts"), settings)
+        write_tables({name: derived[name] for name in sorted(TIMED)}, folder, 0, whole=True)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+# Folders of the tables kept inside each open ``scratch`` block, the innermost last.
+_kept: list[list[str]] = []
 
 
 def local_session(cores: str = "8", app: str = "postwatch", memory: str = "12g") -> SparkSession:
@@ -55,5 +59,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     executors, and the optimiser knows the real size when it decides on a broadcast.
     """
     path = new_folder(df.sparkSession, name)
+    if _kept:
+        _kept[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that are kept inside the block at its end, also after a failure.
+
+    For jobs whose results are written when the block ends; what reads a kept table must not leave it.
+    Blocks may lie in one another, but not run side by side.
+    """
+    _kept.append([])
+    try:
+        yield
+    finally:
+        for folder in _kept.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

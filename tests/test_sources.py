@@ -150,6 +150,20 @@ def test_a_batch_written_again_replaces_itself(spark, posts, post, tmp_path):
     assert stored.filter("event_date = '2018-10-17'").select("id_str").distinct().first()[0] == "2"
 
 
+def test_kept_tables_go_with_their_block(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from postwatch.session import keep, scratch
+
+    outer = keep(spark.range(2), "outer")
+    with scratch(spark):
+        kept = keep(spark.range(3), "inner")
+        file = Path(urlparse(kept.inputFiles()[0]).path)
+        assert kept.count() == 3 and file.exists()
+    assert not file.parent.exists() and outer.count() == 2
+
+
 def test_replay_twice_gives_the_same_tables(spark, posts, post, stop_words, tmp_path):
     raw = messages.raw_rows(posts(post("1", "flu season", ["a"]), post("2", "zika", status="1")))
     settings = ingest.Settings(["flu", "zika"], stop_words)
