@@ -67,9 +67,12 @@ def text_stages(num_words: int = features.NUM_WORDS, text: str = "text") -> list
 
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:
-    """Add the balanced class weight of each row.  The weights are one row per class."""
-    weights = metrics.class_weights(df, label).select(label, "weight")
-    return df.join(F.broadcast(weights), label)
+    """Add the balanced class weight of each row.
+
+    The weights are one row per class and stored, so Spark broadcasts them by their known size only.
+    """
+    weights = keep(metrics.class_weights(df, label).select(label, "weight"), "weights")
+    return df.join(weights, label)
 
 
 def binary_regression(**params) -> LogisticRegression:
