@@ -1,10 +1,13 @@
 """Line de-duplication by pairwise alignment with patience diff.
 
-Documents that share lines are found through the lines' hashes.  From each line on, as many lines are taken as
-make ``MIN_CHARS`` code points, often the line alone; such a run is rare where a single short line is not, and
-every block that can be deleted begins with one.  A run leads from every document that has it to its
-earliest holder, the document with the smallest id; so a run in a third of all documents gives one pair for
-each of them, not a pair for any two, and no run is too frequent to be used.  Every pair is aligned with
+A document is aligned with earlier documents that share a block with it, until none of its lines that lie in
+a shared block is left or all of them have been tried.  Documents that share lines are found through the lines' hashes.  From each line on, and
+up to each line, as many lines are taken as make ``MIN_CHARS`` code points, often the line alone; such a run is
+rare where a single short line is not, and every line of a block that can be deleted lies in one of the block's.  A run
+leads from every document that has it to its earliest holder first; so a run in a third of all documents gives one
+pair for each of them.  Only a run with lines that are still kept leads to its other earlier holders as well, in
+rounds over growing parts of them.  Of documents with the same non-empty lines only the earliest is
+aligned; the others are whole copies of it.  Every pair is aligned with
 patience diff, and blocks of consecutive lines that are aligned, of at least ``MIN_CHARS`` code points
 together, are deleted from the later document.  Blocks are judged on the input texts, not on what other
 pairs leave.
@@ -34,6 +37,8 @@ from postwatch.llm.common import fresh, keep, keyed_join, text_hash
 MIN_CHARS = 60
 #: Lines that one copy of an earlier document is compared with, about, unless it has more itself.
 LOAD = 20_000
+#: Holders that a run is tried with in the first round after its earliest one, and how many times as many in each next round.
+GROWTH = 8
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -114,30 +119,38 @@ class Earlier:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, th, hashes, sizes)``: hash and length of each line."""
+    """``(doc_id, th, hashes, sizes, seq)``: hash and length of each line, hash of the non-empty ones together."""
     lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
     return docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("th"), lines.alias("lines")).select(
         "doc_id", "th",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
         F.transform("lines", lambda x: F.length(x)).alias("sizes"),
+        F.xxhash64(F.filter("lines", lambda x: x != "")).alias("seq"),
     )
 
 
-def run_hashes(hashes: np.ndarray, sizes: np.ndarray, min_chars: int = MIN_CHARS) -> np.ndarray:
-    """Distinct hashes of a document's runs: from each non-empty line on, the fewest lines of ``min_chars`` together."""
+def windows(hashes: np.ndarray, sizes: np.ndarray, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A document's runs ``(hash, start, stop)``, by places among its non-empty lines.
+
+    From each line on, and up to each line, the fewest lines of ``min_chars`` together: all lines of a block
+    that is long enough lie in such runs of the block.
+    """
     import xxhash
 
     hashes, sizes = hashes[sizes > 0], sizes[sizes > 0]
     before = np.append(0, np.cumsum(sizes))
+    n = len(hashes)
     stop = np.searchsorted(before, before[:-1] + min_chars, "left")
-    start = np.flatnonzero(stop <= len(hashes))
-    stop = stop[start]
+    start = np.searchsorted(before, before[1:] - min_chars, "right") - 1
+    ahead, back = np.flatnonzero(stop <= n), np.flatnonzero(start >= 0)
+    both = np.unique(np.concatenate([ahead * (n + 1) + stop[ahead], start[back] * (n + 1) + back + 1]))
+    start, stop = both // (n + 1), both % (n + 1)
     out = hashes[start].astype(np.int64)
     several = np.flatnonzero(stop - start > 1)
     sent = hashes.astype(np.int64).tobytes()
     found = (xxhash.xxh64_intdigest(sent[8 * a : 8 * b]) for a, b in zip(start[several].tolist(), stop[several].tolist()))
     out[several] = np.fromiter(found, np.uint64, len(several)).view(np.int64)
-    return np.unique(out)
+    return out, start, stop
 
 
 def runs_of(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -146,7 +159,7 @@ def runs_of(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         for batch in batches:
             hashes, sizes = batch.column("hashes"), batch.column("sizes")
             found = [
-                run_hashes(hashes[i].values.to_numpy(), sizes[i].values.to_numpy(), min_chars)
+                np.unique(windows(hashes[i].values.to_numpy(), sizes[i].values.to_numpy(), min_chars)[0])
                 for i in range(batch.num_rows)
             ]
             row = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
@@ -157,26 +170,116 @@ def runs_of(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             )
 
     schema = T.StructType([lines.schema["doc_id"], lines.schema["th"], T.StructField("h", T.LongType())])
-    return lines.mapInArrow(run, schema)
+    return lines.select("doc_id", "th", "hashes", "sizes").mapInArrow(run, schema)
+
+
+def kept_runs(lines: DataFrame, removed: DataFrame, runs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Those ``(doc_id, th, h, n)`` of ``runs`` with a line that is not among the removed ones."""
+    wanted = (
+        runs.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t"))
+        .agg(F.collect_list(F.struct("h", "n")).alias("w"))
+        .select("d", "t", F.col("w.h").alias("h"), F.col("w.n").alias("n"))
+    )
+    gone = removed.select(F.col("doc_id").alias("r"), F.col("th").alias("rt"), "removed")
+    rows = (
+        lines.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+        .join(gone, F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("th") == F.col("rt")), "left")
+        .select("doc_id", "th", "hashes", "sizes", "h", "n", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    )
+
+    def run(batches):
+        for batch in batches:
+            hashes, sizes, h, n, removed = (batch.column(c) for c in ("hashes", "sizes", "h", "n", "removed"))
+            row, out, size = [], [], []
+            for i in range(batch.num_rows):
+                lengths = sizes[i].values.to_numpy()
+                free = np.ones(len(lengths), np.int64)
+                free[removed[i].values.to_numpy()] = 0
+                free = np.append(0, np.cumsum(free[lengths > 0]))
+                found, start, stop = windows(hashes[i].values.to_numpy(), lengths, min_chars)
+                still = set(found[free[stop] > free[start]].tolist())
+                for x, k in zip(h[i].as_py(), n[i].as_py()):
+                    if x in still:
+                        row.append(i)
+                        out.append(x)
+                        size.append(k)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(out, pa.int64()), pa.array(size, pa.int64())],
+                ["doc_id", "th", "h", "n"],
+            )
+
+    schema = T.StructType([
+        lines.schema["doc_id"], lines.schema["th"], T.StructField("h", T.LongType()), T.StructField("n", T.LongType()),
+    ])
+    return rows.mapInArrow(run, schema).distinct()
 
 
 def repeated_lines(lines: DataFrame, min_chars: int = MIN_CHARS, load: int = LOAD) -> DataFrame:
     """``(doc_id, th, removed)``: places of the lines to delete, for documents that have any."""
+    classes = keep(
+        lines.groupBy(F.col("seq").alias("same"))
+        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nameless"))
+        .filter("least < most OR (least IS NOT NULL AND nameless > 0)")
+        .select("same", "least"),
+        "classes",
+    )
+    lines = keep(
+        keyed_join(lines, classes, [("seq", "same")], ["doc_id", "th"])
+        .withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.col("least").isNotNull()))
+        .select("doc_id", "th", "hashes", "sizes", "copy"),
+        "classed",
+    )
+    places = F.filter(F.transform("sizes", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    copies = (
+        lines.filter("copy").filter(total >= min_chars).select("doc_id", "th", places.alias("removed")).dropDuplicates(["doc_id", "th"])
+    )
+    lines = lines.filter("NOT copy").drop("copy")
+
     runs = runs_of(lines, min_chars)
     holders = (
         runs.groupBy("h")
         .agg(
-            F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+            F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("doc_id").alias("n"),
             F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nameless"),
         )
         .filter("first < last OR (first IS NOT NULL AND nameless > 0)")
-        .select(F.col("h").alias("shared"), "first")
+        .select(F.col("h").alias("shared"), "first", "n")
     )
-    held = keyed_join(runs, keep(holders, "holders"), [("h", "shared")], ["doc_id", "th"], "inner")
-    pairs = keep(
-        held.filter("doc_id IS NULL OR doc_id > first").select("first", "doc_id", "th").distinct(),
-        "pairs",
+    held = keep(
+        keyed_join(runs, keep(holders, "holders"), [("h", "shared")], ["doc_id", "th"], "inner").select("doc_id", "th", "h", "first", "n"),
+        "held",
     )
+    left = held.filter("doc_id IS NULL OR doc_id > first")
+    removed = keep(aligned(lines, keep(left.select("first", "doc_id", "th").distinct(), "pairs"), min_chars, load), "aligned")
+    # A run that stays is tried with its other holders, in rounds over growing, distinct parts of them, to the last one.
+    place = F.pmod(F.xxhash64("first"), F.lit(1 << 40)) / float(1 << 40)
+    others = held.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("first"), F.col("h").alias("shared"))
+    done = 0
+    while True:
+        left = keep(kept_runs(lines, removed, left.select("doc_id", "th", "h", "n").filter(F.col("n") > done), min_chars), "left")
+        if left.isEmpty():
+            break
+        upto = max(1, done) * GROWTH
+        pairs = (
+            left.join(others, F.col("h") == F.col("shared"))
+            .filter((place * F.col("n") >= done) & (place * F.col("n") < upto))
+            .filter("doc_id IS NULL OR doc_id > first")
+            .select("first", "doc_id", "th")
+            .distinct()
+        )
+        more = aligned(lines, keep(pairs, "pairs"), min_chars, load)
+        removed = keep(
+            removed.unionAll(more).groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")),
+            "aligned",
+        )
+        done = upto
+    return removed.unionAll(copies)
+
+
+def aligned(lines: DataFrame, pairs: DataFrame, min_chars: int = MIN_CHARS, load: int = LOAD) -> DataFrame:
+    """``(doc_id, th, removed)`` of the later documents of ``pairs (first, doc_id, th)`` that have aligned blocks."""
     size = lines.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "hashes", "sizes")
     later = pairs.join(size, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).drop("d", "t")
     work = keep(later.groupBy("first").agg(F.sum(F.size("hashes")).alias("work")), "work")
