@@ -1,6 +1,7 @@
 """Order MinHash fingerprints, in DataFrame functions alone.
 
-A text is cut into pieces of at most ``PIECE`` characters without white space, and ``K`` pieces in a row are
+A word, a run without white space, of at most ``PIECE`` code points is a piece.  A longer run has a piece of ``PIECE``
+code points from each of its code points on, so that an insertion changes the pieces around it alone.  ``K`` pieces in a row are
 a k-mer.  The j-th occurrence of a k-mer counts as one of its own.  The occurrence-numbered k-mers are
 hashed and dealt into ``BINS`` bins; of each bin the ``TUPLE`` smallest are selected, put in the order of
 the text, and hashed as a tuple.  Tuples agree where the k-mers and their order agree, so the share of
@@ -26,6 +27,12 @@ K = 3
 BIN_BITS = 6
 TUPLE = 2
 POSITION = (1 << 31) - 1
+_INK = r"[^\x20\x09-\x0D]"
+#: Captures a short word, which is then passed over, or else looks ahead from a code point (not from half of one).
+_PIECES = (
+    rf"(?![\x{{DC00}}-\x{{DFFF}}])(?=((?<!{_INK}){_INK}{{1,{PIECE}}}+(?!{_INK})|{_INK}{{{PIECE}}}))"
+    rf"(?:(?<!{_INK}){_INK}{{1,{PIECE}}}+(?!{_INK}))?"
+)
 
 
 def bound(value: Column, body) -> Column:
@@ -47,7 +54,7 @@ def _bin(x: Column, bits: int) -> Column:
 
 def signature(text: Column, k: int = K, bin_bits: int = BIN_BITS, size: int = TUPLE) -> Column:
     """Array of longs, one for each bin with k-mers: the bin's number and 32 bits of its tuple's hash."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % PIECE), F.lit(0))
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECES), F.lit(1))
 
     def kmers(p: Column) -> Column:
         n = F.size(p)
