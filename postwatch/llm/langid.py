@@ -28,8 +28,10 @@ from postwatch.llm.common import fresh
 BUCKETS = 1 << 15
 #: Price of a change of label, in the unit of the scores, natural logarithms.
 SWITCH = 8.0
-#: Expected number of labelled texts to learn from; all of them where there are fewer.
+#: Expected number of labelled texts to learn from; all of them where there are fewer.  Labels share it: those with few
+#: texts give all of them, the others equally many, ``LABEL_DOCS`` at least.
 SAMPLE_DOCS = 20_000
+LABEL_DOCS = 100
 #: A label is a candidate for a script in which this share of its letters is written.
 SCRIPT_SHARE = 0.01
 STRETCH = 1 << 16
@@ -138,6 +140,18 @@ def counts(batches, label: str, text: str):
         )
 
 
+def even_share(sizes: list[int], total: int, least: int = LABEL_DOCS) -> int:
+    """The bound for each size at which the bounded sizes make ``total`` together, ``least`` at the smallest."""
+    left, share = total, 0
+    for i, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if n > share:
+            break
+        left -= n
+        share = n
+    return max(share, least)
+
+
 def fit(
     labelled: DataFrame,
     label_col: str = "lang",
@@ -147,17 +161,21 @@ def fit(
 ) -> Model:
     """Learn from the rows of ``labelled`` with a label and a text.
 
-    About ``sample_docs`` texts are used, those with the smallest hashes of ``by`` (of the text, if not
-    given); all texts where there are fewer.  The model has one column per label, and what comes to
+    About ``sample_docs`` texts are used, of each label those with the smallest hashes of ``by`` (of the text, if not
+    given), at least one; all texts where there are fewer.  The model has one column per label, and what comes to
     the driver is one number per label and bucket.
     """
     rows = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"),
         F.xxhash64(F.col(text_col) if by is None else by).alias("h"),
     )
-    n = rows.select("label").count()
-    if n > sample_docs:
-        rows = rows.filter(F.col("h") < int(sample_docs / n * 2.0**64 - 2.0**63))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()  # a row per label
+    if sum(r["n"] for r in sizes) > sample_docs:
+        most = even_share([r["n"] for r in sizes], sample_docs)
+        bounds = [(r["label"], max(r["least"], int(most / r["n"] * 2.0**64 - 2.0**63))) for r in sizes if r["n"] > most]
+        if bounds:
+            given = labelled.sparkSession.createDataFrame(bounds, "of string, bound long")
+            rows = rows.join(F.broadcast(given), F.col("label") == F.col("of"), "left").filter("bound IS NULL OR h <= bound")
     found = (
         rows.select("label", "text")
         .mapInArrow(lambda batches: counts(batches, "label", "text"), "label string, bucket int, n long")
