@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import chat, decontaminate, langid, linededup, lmscore, mixing, ordermin, rlz, simhash, warc
+from postwatch.llm import chat, decontaminate, langid, linededup, lmscore, mixing, ordermin, packing, rlz, simhash, warc
 from postwatch.llm.common import keep, keyed_join, text_hash
 from postwatch.llm.registry import QUERIES, SQL, query, table
 from postwatch.operators.ordinal import with_ordinal
@@ -265,3 +265,8 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("place").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("kind").alias("record_type"), "refers_to",
     )
+
+
+@query("op11_packing")
+def packing_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
