@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import chat, decontaminate, langid, linededup, lmscore, mixing, ordermin, packing, rlz, simhash, warc
+from postwatch.llm import chat, decontaminate, langid, linededup, lmscore, mixing, ordermin, packing, repair, rlz, simhash, warc
 from postwatch.llm.common import keep, keyed_join, text_hash
 from postwatch.llm.registry import QUERIES, SQL, query, table
 from postwatch.operators.ordinal import with_ordinal
@@ -270,3 +270,19 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_packing")
 def packing_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The rows of conversations with one in four of them damaged; ``gone`` marks those that are dropped."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    code, text = F.crc32(key) % 20, F.coalesce("text", F.lit(" "))
+    return rows.select(
+        "conv_id", "turn", F.when(code == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(code == 1, "").when(code == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (code == 0).alias("gone"), F.explode(F.array_repeat(F.lit(0), F.when(code == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+@query("op12_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(damaged(table(spark, sf_dir, "conversations")), gone="gone")
