@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postwatch.llm import chat, decontaminate, langid, linededup, lmscore, mixing, ordermin, packing, repair, rlz, simhash, warc
+from postwatch.llm import chat, decontaminate, langid, linededup, lmscore, mixing, ordermin, packing, repair, rlz, simhash, trie, warc
 from postwatch.llm.common import keep, keyed_join, text_hash
 from postwatch.llm.registry import QUERIES, SQL, query, table
 from postwatch.operators.ordinal import with_ordinal
@@ -286,3 +286,37 @@ def damaged(rows: DataFrame) -> DataFrame:
 @query("op12_repair")
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
+def rebuilt(rows: DataFrame) -> DataFrame:
+    """``(conv, part, place, key, size)``: each conversation with the first turns of the one that its hundred begins with.
+
+    A row without a key per conversation stands for those without turns.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    turns = keep(
+        rows.filter("conv_id is not null")
+        .select(F.col("conv_id").cast("long").alias("conv"), "turn", role.alias("role"), text.alias("text"))
+        .withColumn("place", F.row_number().over(order))
+        .select("conv", "place", trie.turn_key(F.col("role"), F.col("text")).alias("key"), F.length("text").alias("size")),
+        "turns",
+    )
+    shared = (F.crc32(F.col("conv").cast("string")) % 6).cast("int")
+    convs = turns.select("conv").distinct()
+    # At most five turns each, for a hundred conversations.
+    begin = turns.filter("conv % 100 = 0 and place <= 5").groupBy(F.col("conv").alias("b_conv")).agg(
+        F.collect_list(F.struct("place", "key", "size")).alias("turns")
+    )
+    lent = keyed_join(convs.withColumn("base", F.expr("conv - conv % 100")), keep(begin, "begin"), [("base", "b_conv")], ["conv"], "inner")
+    lent = lent.select("conv", F.explode("turns").alias("t")).filter(F.col("t.place") <= shared)
+    return (
+        convs.select("conv", F.lit(0).alias("part"), F.lit(0).alias("place"), F.lit(None).cast("binary").alias("key"), F.lit(0).alias("size"))
+        .unionAll(lent.select("conv", F.lit(0), "t.place", "t.key", "t.size"))
+        .unionAll(turns.filter(F.col("place") > shared).select("conv", F.lit(1), "place", "key", "size"))
+    )
+
+
+@query("op13_prefix_trie")
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(rebuilt(table(spark, sf_dir, "conversations")), "conv", ["part", "place"])
