@@ -317,6 +317,41 @@ def rebuilt(rows: DataFrame) -> DataFrame:
     )
 
 
-@query("op13_prefix_trie")
+TRIE = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(length(role) || ':' || role || text ORDER BY place) AS ids, list(length(text) ORDER BY place) AS sizes
+  FROM t GROUP BY conv_id),
+h AS (
+  -- crc32 of the decimal id, bit by bit
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           range(strlen(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: 0::BIGINT)),
+             lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295) % 6 AS h
+  FROM own),
+seq AS (
+  SELECT own.conv_id, list_concat(coalesce(list_slice(base.ids, 1, h), []), list_slice(own.ids, h + 1, len(own.ids))) AS ids,
+         list_concat(coalesce(list_slice(base.sizes, 1, h), []), list_slice(own.sizes, h + 1, len(own.sizes))) AS sizes
+  FROM own JOIN h USING (conv_id) LEFT JOIN own base ON base.conv_id = own.conv_id - own.conv_id % 100),
+node AS (
+  SELECT list_slice(ids, 1, depth) AS ids, depth, min(conv_id) AS conv_id, count(*) AS n,
+         any_value(coalesce(sizes[depth], 0)) AS size,
+         string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = len(ids)) AS ends
+  FROM (SELECT *, unnest(range(len(ids) + 1)) AS depth FROM seq) GROUP BY ALL),
+parent AS (SELECT list_slice(ids, 1, depth - 1) AS ids, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN parent USING (ids, depth)),
+below AS (
+  SELECT list_slice(ids, 1, up) AS ids, up AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM full_node) GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_node f JOIN below USING (ids, depth)
+LEFT JOIN node p ON p.depth = f.depth - 1 AND p.ids = list_slice(f.ids, 1, f.depth - 1)"""
+
+
+@query("op13_prefix_trie", TRIE)
 def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(rebuilt(table(spark, sf_dir, "conversations")), "conv", ["part", "place"])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from postwatch.llm.common import keep, keyed_join
 
 #: Suffixes of a container.
-LIMIT = 1000
+LIMIT = 250
 #: Turns up to which a sequence is held, shared or not.
 HELD = 64
 NO_ENDS = hashlib.sha256(b"").hexdigest()
