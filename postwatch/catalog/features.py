@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from postwatch.catalog.sources import vector_words
 from postwatch.functions import arrays as A
 from postwatch.functions import text as X
 from postwatch.operators import features, vectors
-from postwatch.plans import classify
-from postwatch.session import keep
+from postwatch.plans import classify, stages
+from postwatch.session import keep, new_folder
 
 _SEPARATORS = X.TOKENIZER_SEPARATORS[:-2]
 _SPACES = " " * len(_SEPARATORS)
@@ -261,3 +262,70 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     near = vectors.most_similar(queries, embeddings, "vec_id", "embedding")
     return near.withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    "cosine_topk_many",
+    f"""WITH {DOUBLES},
+s AS (SELECT q.vec_id AS query, d.vec_id, {SQL_COSINE.format("q.vec", "d.vec")} AS cosine,
+             row_number() OVER (PARTITION BY q.vec_id ORDER BY round({SQL_COSINE.format("q.vec", "d.vec")[6:-4]}, 12)
+                                DESC NULLS LAST, d.vec_id) AS place
+      FROM d q CROSS JOIN d WHERE q.vec_id % 50 = 0)
+SELECT query, vec_id, cosine, CAST(place AS INTEGER) AS place FROM s WHERE place <= 10""",
+)
+def cosine_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of each vector whose id is divisible by 50, among all; in several cells."""
+    embeddings = B.table(spark, sf_dir, "embeddings")
+    queries = embeddings.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query")
+    near = vectors.most_similar(queries, embeddings, "vec_id", "embedding", k=10, cell_vectors=200, cell_queries=8)
+    return near.withColumn("cosine", F.round("cosine", 6))
+
+
+@query("cosine_index")
+def cosine_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the index; its recall is measured in the tests."""
+    embeddings = B.table(spark, sf_dir, "embeddings")
+    queries = embeddings.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query")
+    index = vectors.build_index(embeddings, "vec_id", "embedding", per_cell=50)
+    near = vectors.search_index(index, queries, "embedding", k=10, probes=8)
+    return near.withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    "stored_indexer",
+    f"""{SEQUENCES},
+i AS (SELECT doc_id, coalesce(list(idx ORDER BY pos) FILTER (WHERE idx IS NOT NULL), []) AS a
+      FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, array_to_string((a || list_transform(range({LENGTH}), lambda x: 0))[:{LENGTH}], ' ') AS indices FROM i""",
+)
+def stored_indexer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexer and padder fitted, stored, loaded, and applied as loaded."""
+    texts = B.documents(spark, sf_dir, "doc_id", "text")
+    folder = new_folder(spark, "pipeline")
+    indexer = stages.WordIndexer(inputCol="text", outputCol="indices", key=["doc_id"], numWords=features.NUM_WORDS)
+    Pipeline(stages=[indexer, stages.Padder(inputCol="indices", outputCol="padded", length=LENGTH)]).fit(texts).save(folder)
+    return PipelineModel.load(folder).transform(texts).select("doc_id", B.joined("padded").alias("indices"))
+
+
+RANDOM = {"width": 64, "gamma": 0.5 / 64, "size": 32, "seed": 7}
+
+
+def sql_kernel() -> str:
+    """Kernel estimates of neighbouring vectors from the directions as lists."""
+    rows = stages.directions(**RANDOM).tolist()
+    features_ = "list_transform(w, lambda r: sqrt(2.0 / 32) * cos(list_dot_product(r[:64], vec) + r[65]))"
+    return f"""WITH {DOUBLES},
+w AS (SELECT {rows} AS w),
+f AS (SELECT vec_id, {features_} AS f FROM d, w)
+SELECT u.vec_id AS a, v.vec_id AS b, round(list_dot_product(u.f, v.f), 6) AS estimate
+FROM f u JOIN f v ON v.vec_id = u.vec_id + 1"""
+
+
+@query("rbf_kernel", sql_kernel())
+def rbf_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = B.table(spark, sf_dir, "embeddings")
+    mapped = stages.RandomFeatures(inputCol="embedding", outputCol="features", **RANDOM)
+    rows = embeddings.select("vec_id", mapped.column(F.col("embedding")).alias("f"))
+    pairs = embeddings.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    a, b = rows.select(F.col("vec_id").alias("a"), F.col("f").alias("u")), rows.select(F.col("vec_id").alias("b"), F.col("f").alias("v"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", F.round(A.dot(F.col("u"), F.col("v")), 6).alias("estimate"))

@@ -11,7 +11,7 @@ from postwatch.catalog.base import query
 from postwatch.catalog.evaluation import RANKED, three_classes
 from postwatch.catalog.sources import vector_words
 from postwatch.operators import features, ordinal
-from postwatch.plans import classify
+from postwatch.plans import classify, descent, moments, stages
 from postwatch.session import keep, new_folder
 from postwatch.sources import tables
 
@@ -183,3 +183,122 @@ def text_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = classify.fit(part("train"), classify.binary_regression(maxIter=10), [bag])
     return classify.report(classify.judged(model.transform(part("valid"))))
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, key, label, values`` in three classes, split by position."""
+    rows = three_classes(spark, sf_dir).select(
+        "vec_id", F.col("vec_id").alias("key"), "label", F.col("embedding").cast("array<double>").alias("values")
+    )
+    return keep(ordinal.split_positional(rows, "vec_id"), "values")
+
+
+RATE = 0.5
+
+
+def sql_steps() -> str:
+    """Weights of a softmax regression after two steps of gradient descent from zero over all vectors."""
+    return f"""WITH e AS (
+  SELECT vec_id, label % 3 AS y, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) || [1.0] AS x FROM embeddings),
+c AS (SELECT vec_id, y, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS pos FROM e),
+n AS (SELECT count(*) AS n FROM e),
+k AS (SELECT unnest([0, 1, 2]) AS k),
+w1 AS (SELECT pos, k, -{RATE} * sum(x * (1.0 / 3 - CASE WHEN y = k THEN 1 ELSE 0 END)) / any_value(n) AS w FROM c, k, n GROUP BY pos, k),
+z AS (SELECT vec_id, y, k, exp(sum(x * w)) AS z FROM c JOIN w1 USING (pos) GROUP BY vec_id, y, k),
+r AS (SELECT vec_id, k, z / sum(z) OVER (PARTITION BY vec_id) - CASE WHEN y = k THEN 1 ELSE 0 END AS r FROM z),
+g AS (SELECT pos, k, sum(x * r) / any_value(n) AS g FROM c JOIN r USING (vec_id), n GROUP BY pos, k)
+SELECT CAST(pos AS INTEGER) AS pos, CAST(k AS INTEGER) AS label, round(w - {RATE} * g, 6) + 0.0 AS weight FROM w1 JOIN g USING (pos, k)"""
+
+
+@query("sgd_softmax", sql_steps())
+def sgd_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps of gradient descent; the last place is the bias."""
+    runs = descent.Descent.start(_values(spark, sf_dir), [{"learningRate": RATE, "optimizer": "sgd"}])
+    for epoch in (1, 2):
+        runs.epoch(epoch)
+    # As many rows as the model has weights.
+    rows = [(i, int(k), float(w)) for i, row in enumerate(runs.weights[0]) for k, w in zip(runs.classes, row)]
+    found = spark.createDataFrame(rows, "pos int, label int, weight double")
+    return found.withColumn("weight", F.round("weight", 6) + 0.0)
+
+
+@query("lr_grid_sweep")
+def lr_grid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 140 settings of learning rate, epochs and optimizer, in as many passes as the most epochs."""
+    rows = _values(spark, sf_dir)
+    runs, _ = descent.sweep(_part(rows, "train"), _part(rows, "valid"))
+    return _rounded(classify.metrics.leaderboard(runs))
+
+
+@query("lr_grid_halving")
+def lr_grid_halving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same axes by successive halving: all runs that were judged, with their rung."""
+    rows = _values(spark, sf_dir)
+    runs, _ = descent.halving(_part(rows, "train"), _part(rows, "valid"))
+    return _rounded(runs)
+
+
+@query("svm_rbf")
+def svm_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three classes, each against the others, with a Gaussian kernel."""
+    rows = _values(spark, sf_dir)
+    stages_ = stages.rbf_classifier(64, size=128, maxIter=8, regParam=0.01)
+    model = classify.fit(_part(rows, "train"), stages_[-1], stages_[:-1])
+    return classify.report(classify.judged(model.transform(_part(rows, "valid"))))
+
+
+@query(
+    "nb_stream_stats",
+    """WITH c AS (SELECT label % 3 AS label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
+SELECT CAST(label AS INTEGER) AS label, CAST(pos AS INTEGER) AS pos, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, round(var_pop(x), 6) AS variance
+FROM c GROUP BY ALL""",
+)
+def nb_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of a stream of labelled vectors, merged batch by batch, with a batch that comes twice and a fold between."""
+    source, folder = new_folder(spark, "vectors"), new_folder(spark, "moments")
+    rows = three_classes(spark, sf_dir).select(F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
+    rows.repartition(6).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    moments.start_moments(stream, folder, new_folder(spark, "checkpoint")).awaitTermination()
+    moments.compact(spark, folder)
+    # A batch that has been folded changes nothing when it comes again.
+    moments.add(rows, folder, "stream-0")
+    found = moments.read(spark, folder)
+    return found.select("label", "pos", "n", (F.round("mean", 6) + 0.0).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+@query("nb_stream", sql_bayes("label % 3", "valid"))
+def nb_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the training part in three batches, judged on the validation part."""
+    rows, folder = _values(spark, sf_dir), new_folder(spark, "moments")
+    train = _part(rows, "train")
+    for batch in range(3):
+        moments.add(train.filter(F.pmod(F.xxhash64("vec_id"), F.lit(3)) == batch), folder, f"batch-{batch}", "label", "values")
+    valid = _part(rows, "valid")
+    found = moments.predict(valid, moments.read(spark, folder), "vec_id", "values").join(valid.select("vec_id", "label"), "vec_id")
+    return _rounded(classify.report(classify.judged(found)))
+
+
+@query("stored_pipeline")
+def stored_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean, index, pad, average the word vectors, train; stored as one object, and judged as loaded."""
+    rows = _labeled_texts(spark, sf_dir)
+    train, valid = _part(rows, "train"), _part(rows, "valid")
+    vectors = keep(vector_words(spark, sf_dir).select((F.col("vec_id") + 2).cast("int").alias("idx"), "vec"), "word_vectors")
+    steps = stages.text_pipeline(["doc_id"], features.padded_length(train), vectors=vectors)
+    folder = new_folder(spark, "pipeline")
+    classify.fit(train, classify.binary_regression(maxIter=10, regParam=0.01), steps).save(folder)
+    return classify.report(classify.judged(classify.PipelineModel.load(folder).transform(valid)))
+
+
+@query("score_stream")
+def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts scored as they come in, each micro-batch under its number."""
+    rows = _labeled_texts(spark, sf_dir)
+    model = classify.fit(_part(rows, "train"), classify.binary_regression(maxIter=10), classify.text_stages())
+    turns = B.conversations(spark, sf_dir).select("conv_id", "turn", "text")
+    source, folder = new_folder(spark, "turns"), new_folder(spark, "scored")
+    turns.write.parquet(source)
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    classify.start_scoring(stream, model, folder, new_folder(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(folder).drop("text", "batch_id")

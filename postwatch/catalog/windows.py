@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from postwatch.functions import clock
 from postwatch.functions import text as X
 from postwatch.operators import posts as P
 from postwatch.operators import rollup
+from postwatch.plans import partials
+from postwatch.session import new_folder
+from postwatch.sources import transaction
 
 START, END = "2024-01-02 06:00:00", "2024-01-02 12:00:00"
 
@@ -156,3 +161,81 @@ FROM (SELECT ts, unnest(hashtags) AS hashtag FROM posts) GROUP BY ALL""",
 def hashtag_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.explode(F.col(f"{P.HASHTAGS}.text")).alias("hashtag_text")
     return _ended(rollup.counts(B.posts(spark, sf_dir).select("ts", tags), "hashtag_text"))
+
+
+EVENT_ROLLUPS = f"""WITH items AS (
+  SELECT 'disease' AS store, ts, event_type AS item, NULL AS name, NULL AS place, 0 AS id FROM events
+  UNION ALL SELECT 'keywords', ts, event_type || user_id % 7, NULL, NULL, 0 FROM events
+  UNION ALL SELECT 'hashtags', ts, json_extract_string(props, '$.k'), NULL, NULL, 0 FROM events WHERE value > 50
+  UNION ALL SELECT 'users', ts, CAST(user_id AS VARCHAR), event_type,
+                   CASE WHEN event_type <> 'view' THEN json_extract_string(props, '$.k') END, CAST(event_id AS VARCHAR) FROM events),
+total AS (SELECT {B.sql_end("ts")} AS e, count(*) AS n FROM events GROUP BY ALL),
+ends AS (SELECT unnest(generate_series(min(e), max(e), INTERVAL 6 HOURS)) AS e FROM total)
+SELECT store, {B.sql_moment(B.sql_end("ts"))} AS window_end, item, count(*) AS mentions,
+       arg_min_null(name, struct_pack(a := ts, b := id)) AS user_name,
+       arg_min_null(place, struct_pack(a := ts, b := id)) AS user_location
+FROM items GROUP BY ALL
+UNION ALL SELECT 'tweet_count', {B.sql_moment("ends.e")}, NULL, coalesce(n, 0), NULL, NULL FROM ends LEFT JOIN total USING (e)"""
+
+
+def _event_tables(events: DataFrame) -> dict[str, DataFrame]:
+    """Events as derived tables; a post per event."""
+    k = F.get_json_object("props", "$.k")
+    return {
+        "tb_tweet": events.select("ts", F.col("event_type").alias("disease")),
+        "tb_keyword": events.select("ts", F.concat("event_type", (F.col("user_id") % 7).cast("string")).alias("keyword")),
+        "tb_hashtag": events.filter("value > 50").select("ts", k.alias("hashtag")),
+        "tb_user": events.select(
+            "ts", F.col("event_id").cast("string").alias("id_tweet"), F.col("user_id").cast("string").alias("id_user"),
+            F.col("event_type").alias("screen_name"), F.when(F.col("event_type") != "view", k).alias("location"),
+        ),
+    }
+
+
+def _stores(spark: SparkSession, folder: str, read) -> DataFrame:
+    def shown(store: str) -> DataFrame:
+        rows, users = read(spark, folder, store), store == "users"
+        none = F.lit(None).cast("string")
+        return rows.select(
+            F.lit(store).alias("store"), B.moment(F.col("window_end")).alias("window_end"),
+            F.col(partials.NAMES[store]).alias("item") if store in partials.NAMES else none.alias("item"),
+            F.col("mentions" if store in partials.NAMES else "tcount").alias("mentions"),
+            (F.col("user_name") if users else none).alias("user_name"),
+            (F.col("user_location") if users else none).alias("user_location"),
+        )
+
+    return reduce(DataFrame.unionAll, map(shown, partials.STORES))
+
+
+@query("late_rollup", EVENT_ROLLUPS)
+def late_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that each reach over all windows come out of order, some twice, with a compaction between them."""
+    events, folder = B.table(spark, sf_dir, "events"), new_folder(spark, "partials")
+
+    def add(batch: int) -> None:
+        rows = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == batch)
+        partials.add(_event_tables(rows), folder, f"batch-{batch}", day_start=None)
+
+    for batch in (2, 0, 2):
+        add(batch)
+    partials.compact(spark, folder)
+    for batch in (0, 3, 1, 3):
+        add(batch)
+    return _stores(spark, folder, partials.read)
+
+
+@query("rollup_transaction", EVENT_ROLLUPS)
+def rollup_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five roll-ups in one transaction; one that fails in a late task goes before it."""
+    derived = _event_tables(B.table(spark, sf_dir, "events"))
+    rows, folder = partials.partials(derived, day_start=None), new_folder(spark, "transaction")
+    broken = rows.withColumn("n", F.when(F.col("store") == "users", F.raise_error(F.lit("stopped"))).otherwise(F.col("n")))
+    try:
+        transaction.write(broken.repartition(4, "store"), folder, "rollup")
+    except Exception as stopped:  # noqa: BLE001
+        if "stopped" not in str(stopped):
+            raise
+    if transaction.visible(folder):
+        raise RuntimeError("a failed write is visible")
+    transaction.write(rows, folder, "rollup")
+    return _stores(spark, folder, partials.read)

@@ -82,9 +82,11 @@ def _token_rows(texts: DataFrame, key: list[str], text: str, tokens) -> DataFram
     """One row per word and its place; a text without words keeps one row with a null word.
 
     The compact texts are shuffled by their key first, so the words of a text are together already when
-    they are regrouped behind a broadcast dictionary.
+    they are regrouped behind a broadcast dictionary.  The number of partitions is given, as their size is that of the
+    texts and not that of the words behind the explode: left to itself, adaptive execution joins them into few.
     """
-    placed = texts.select(*key, text).repartition(*key)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = texts.select(*key, text).repartition(parts, *key)
     return placed.select(*key, F.posexplode_outer(tokens).alias("pos", "word"))
 
 

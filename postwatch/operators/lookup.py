@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,3 +78,34 @@ def enrich_location(users: DataFrame, places: DataFrame, limit: int = BROADCAST_
     keyed = users.withColumn("location_key", location_key(F.col("location")))
     joined = lookup_join(keyed, places, "location_key", ["id_tweet"], "left", limit)
     return joined.withColumn("location", F.col("country_code")).select(*users.columns)
+
+
+def place_candidates(location) -> Column:
+    """What a location such as ``city, region, country`` may name, the most exact first.
+
+    The whole of it, then without its first part, and so on; behind these the parts in front alone, from the longest:
+    ``city, region``, ``city``.  Each is in the normal form of ``location_key``; empty parts do not count.
+    """
+    parts = F.filter(F.transform(F.split(location, ","), location_key), lambda p: p != "")
+    n = F.size(parts)
+    places = F.when(n > 0, F.sequence(F.lit(1), n))
+    suffixes = F.transform(places, lambda i: F.array_join(F.slice(parts, i, n - i + 1), " "))
+    fronts = F.transform(F.filter(places, lambda i: i < n), lambda i: F.array_join(F.slice(parts, F.lit(1), n - i), " "))
+    return F.array_distinct(F.concat(suffixes, fronts))
+
+
+def locate(
+    users: DataFrame, key: Sequence[str], places: DataFrame, location: str = "location", limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``(key, country_code, matched, tried)``: the best place of every location, null where none is known.
+
+    All candidates of all locations go through one join, salted if the gazetteer is large; of those that are known the
+    first one counts.  ``places`` is what ``best_places`` gives.  ``tried`` is the candidate's number, from 1.
+    """
+    candidates = users.select(*key, F.posexplode_outer(place_candidates(F.col(location))).alias("_at", "location_key"))
+    known = lookup_join(candidates, places, "location_key", [*key, "_at"], "left", limit)
+    first = F.min(F.when(F.col("country_code").isNotNull(), F.struct("_at", "location_key", "country_code")))
+    return known.groupBy(*key).agg(first.alias("_p")).select(
+        *key, F.col("_p.country_code").alias("country_code"), F.col("_p.location_key").alias("matched"),
+        (F.col("_p._at") + 1).alias("tried"),
+    )

@@ -1,17 +1,36 @@
-"""Similarity of stored vectors."""
+"""Similarity of stored vectors: listed pairs, exact nearest vectors of many queries, and an index of cells.
+
+Searches compare queries and vectors in cells of bounded size: each cell is a group of both, multiplied as two matrices,
+which gives the ``k`` best of a query in the cell; these few rows are then ranked per query.  The exact search deals the
+vectors into groups and the queries into blocks and compares every pair of them.  The index deals vectors by their nearest
+centre, and a query only goes to the cells of its nearest centres; a cell that holds too many vectors is split.
+
+Cosines are ranked after rounding to ``DIGITS``, ties by the key; those of zero vectors are null and come last.
+"""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postwatch.functions import arrays as A
+from postwatch.session import keep
 
-# Query vectors that go along with the rows in one pass.
-BLOCK = 256
+#: Vectors, and queries, that meet in one cell.
+CELL_VECTORS = 20_000
+CELL_QUERIES = 5_000
+DIGITS = 12
+#: Vectors that the centres are learnt from, at most, and on average in a cell of the index.
+SAMPLE = 100_000
+PER_CELL = 1_000
 
 
 def cosine_of_pairs(
@@ -24,41 +43,163 @@ def cosine_of_pairs(
     return joined.withColumn("cosine", A.cosine(F.col("_u"), F.col("_v"))).drop("_u", "_v")
 
 
+def _best_of_cell(k: int, digits: int, names: list[str]):
+    """Compares the queries of a cell with its vectors; needs nothing of this package where it runs."""
+
+    def units(column) -> np.ndarray:
+        rows = column.combine_chunks()
+        values = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        flat = values.reshape(len(rows), -1) if len(rows) else values.reshape(0, 0)
+        size = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return flat / size
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out_q, out_v, cosines = [], [], []
+        if queries.num_rows and vectors.num_rows:
+            # In the order of the keys, so that a stable sort breaks ties by them.
+            vectors = vectors.take(pa.compute.sort_indices(vectors.column("key")))
+            left, right = units(queries.column("vec")), units(vectors.column("vec"))
+            step = max(1, 4_000_000 // len(right))
+            for at in range(0, len(left), step):
+                found = np.round(left[at : at + step] @ right.T, digits)
+                found[np.isnan(found)] = -np.inf
+                most = min(k, found.shape[1])
+                least = np.partition(found, -most, axis=1)[:, -most]
+                for i, row in enumerate(found):
+                    places = np.flatnonzero(row >= least[i])
+                    places = places[np.argsort(-row[places], kind="stable")][:most]
+                    out_q.extend([at + i] * len(places))
+                    out_v.extend(places.tolist())
+                    cosines.extend(None if x == -np.inf else x for x in row[places].tolist())
+        return pa.table(
+            [queries.column("query").take(pa.array(out_q, pa.int64())), vectors.column("key").take(pa.array(out_v, pa.int64())),
+             pa.array(cosines, pa.float64())],
+            names=names,
+        )
+
+    return run
+
+
+def _search(queries: DataFrame, vectors: DataFrame, key: str, k: int) -> DataFrame:
+    """The ``k`` best of each query over the cells it has rows in.
+
+    ``queries (cell, query, vec)`` and ``vectors (cell, key, vec)``; a vector is in one cell that a query meets.
+    """
+    schema = T.StructType([
+        T.StructField("query", queries.schema["query"].dataType), T.StructField(key, vectors.schema["key"].dataType),
+        T.StructField("cosine", T.DoubleType()),
+    ])
+    best = queries.groupBy("cell").cogroup(vectors.groupBy("cell")).applyInArrow(_best_of_cell(k, DIGITS, ["query", key, "cosine"]), schema)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("cosine"), key))
+    return best.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def _doubles(df: DataFrame, key: str, vec: str, name: str) -> DataFrame:
+    """Key and vector; rows without a vector cannot be compared and are left out."""
+    return df.filter(F.col(vec).isNotNull()).select(F.col(key).alias(name), F.col(vec).cast("array<double>").alias("vec"))
+
+
 def most_similar(
-    queries: DataFrame, vectors: DataFrame, key: str, vec: str, k: int = 5
+    queries: DataFrame, vectors: DataFrame, key: str, vec: str, k: int = 5, cell_vectors: int = CELL_VECTORS, cell_queries: int = CELL_QUERIES
 ) -> DataFrame:
-    """The ``k`` nearest vectors of each query ``(query, vec)`` by cosine.
+    """The ``k`` nearest vectors of each query ``(query, vec)`` by cosine, exactly: ``(query, key, cosine, place)``.
 
-    The queries are the caller's list, and go along with each row in blocks of ``BLOCK``, one pass over
-    the vectors for each; the vectors stay where they are.  Each task ranks its own rows first, so what
-    is shuffled is ``k`` rows per query and task.
+    Queries and keys are unique.  Every query is compared with every vector, in cells of about ``cell_queries`` x
+    ``cell_vectors``: the vectors are copied once per block of queries, the queries once per group of vectors.
     """
-    listed = queries.select("query", F.col(vec).cast("array<double>").alias("vec")).collect()
-    blocks = [listed[i : i + BLOCK] for i in range(0, len(listed), BLOCK)] or [[]]
-    return reduce(DataFrame.unionAll, [_nearest(block, vectors, key, vec, k, queries) for block in blocks])
-
-
-def _nearest(listed, vectors: DataFrame, key: str, vec: str, k: int, queries: DataFrame) -> DataFrame:
-    kind = queries.schema["query"].dataType.simpleString()
-    none = F.array().cast(f"array<struct<query:{kind},unit:array<double>>>")
-    literal = F.array(*[F.struct(F.lit(q["query"]).cast(kind).alias("query"), _unit(q["vec"])) for q in listed]) if listed else none
-    values = F.col(vec).cast("array<double>")
-    # The length of a vector is worked out once, not once per query.
-    scored = (
-        vectors.select(key, values.alias("_v"), A.norm(values).alias("_norm"))
-        .select(key, "_v", "_norm", F.explode(literal).alias("q"))
-        .select(
-            F.col("q.query").alias("query"),
-            key,
-            F.try_divide(A.dot(F.col("q.unit"), F.col("_v")), F.col("_norm")).alias("cosine"),
-        )
-    )
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("cosine"), key))
-    return scored.withColumn("place", place).filter(F.col("place") <= k)
+    asked, stored = _doubles(queries, "query", vec, "query"), _doubles(vectors, key, vec, "key")
+    n_queries, n_vectors = asked.count(), stored.count()
+    blocks, groups = max(1, math.ceil(n_queries / cell_queries)), max(1, math.ceil(n_vectors / cell_vectors))
+    # Small tables too are spread over the cores.
+    groups = max(groups, min(vectors.sparkSession.sparkContext.defaultParallelism, n_vectors // 1000))
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    group = F.pmod(F.xxhash64("key"), F.lit(groups))
+    each_group, each_block = (F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")) for n in (groups, blocks))
+    left = asked.select(F.explode(F.transform(each_group, lambda g: block * groups + g)).alias("cell"), "query", "vec")
+    right = stored.select(F.explode(F.transform(each_block, lambda b: b * groups + group)).alias("cell"), "key", "vec")
+    return _search(left, right, key, k)
+
+
+@dataclass
+class Index:
+    """An inverted file: vectors by cell, ``(cell, part, key, vec)``, the parts of each cell, and the centres."""
+
+    cells: DataFrame
+    parts: DataFrame
+    centres: np.ndarray
+    key: str
+
+
+def build_index(
+    vectors: DataFrame, key: str, vec: str, per_cell: int = PER_CELL, sample: int = SAMPLE, seed: int = 7, cell_vectors: int = CELL_VECTORS
+) -> Index:
+    """Index all vectors by the nearest of the centres, which are learnt from about ``sample`` of them, picked by hash.
+
+    A cell of more than ``cell_vectors`` is cut into parts by the hash of the key, so a crowded spot fills several tasks.
+    Zero vectors, which are near to nothing, lie in the first cell.
+    """
+    rows = _doubles(vectors, key, vec, "key")
+    size = A.norm(F.col("vec"))
+    rows = keep(rows.withColumn("unit", F.when(size > 0, F.transform("vec", lambda x: x / size)).otherwise(F.col("vec"))), "units")
+    n = rows.count()
+    n_cells = max(1, round(n / per_cell))
+    share = min(1.0, sample / max(1, n))
+    picked = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 20)) < share * (1 << 20)).filter(A.norm(F.col("unit")) > 0)
+    learnt = picked.select(array_to_vector("unit").alias("features"))
+    if not learnt.isEmpty():
+        model = KMeans(k=max(2, n_cells), seed=seed, maxIter=20).fit(learnt)
+        centres = np.array(model.clusterCenters())
+    else:
+        centres = np.zeros((1, 1))
+    placed = rows.mapInArrow(_nearest_centres(vectors.sparkSession, centres, 1), _with_cell(rows))
+    counted = placed.groupBy("cell").agg(F.count("*").alias("n"))
+    parts = keep(counted.select("cell", F.ceil(F.col("n") / cell_vectors).cast("long").alias("parts")), "parts")
+    # One row per cell.
+    cut = placed.join(F.broadcast(parts), "cell")
+    cells = keep(cut.select("cell", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), "key", "vec").repartition("cell", "part"), "cells")
+    return Index(cells, parts, centres, key)
 
 
-def _unit(vec: list[float]) -> Column:
-    """A vector brought to length 1 as a literal, null for the zero vector."""
-    size = math.sqrt(sum(x * x for x in vec))
-    unit = F.array(*[F.lit(x / size) for x in vec]) if size else F.lit(None).cast("array<double>")
-    return unit.alias("unit")
+def _with_cell(rows: DataFrame) -> T.StructType:
+    return T.StructType([*rows.schema.fields, T.StructField("cell", T.LongType())])
+
+
+def _nearest_centres(spark, centres: np.ndarray, probes: int):
+    """Adds the ``probes`` centres nearest to ``unit`` by cosine, a row each."""
+    size = np.sqrt((centres * centres).sum(axis=1, keepdims=True))
+    shared = spark.sparkContext.broadcast(centres / np.where(size > 0, size, 1))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = batch.column(batch.schema.get_field_index("unit"))
+            flat = unit.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            near = flat @ shared.value.T if shared.value.shape[1] == flat.shape[1] else np.zeros((len(flat), 1))
+            most = min(probes, near.shape[1])
+            cells = np.argsort(-near, axis=1, kind="stable")[:, :most]
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), most))
+            columns = [c.take(rows) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cells.ravel().astype(np.int64))], [*batch.schema.names, "cell"])
+
+    return run
+
+
+def search_index(index: Index, queries: DataFrame, vec: str, k: int = 5, probes: int = 8, cell_queries: int = CELL_QUERIES) -> DataFrame:
+    """The ``k`` nearest vectors of each query in the cells of its ``probes`` nearest centres.
+
+    Where more than ``cell_queries`` queries go to a cell they are dealt into blocks, and its vectors are copied for each.
+    """
+    asked = _doubles(queries, "query", vec, "query")
+    size = A.norm(F.col("vec"))
+    asked = asked.withColumn("unit", F.when(size > 0, F.transform("vec", lambda x: x / size)).otherwise(F.col("vec")))
+    sent = keep(asked.mapInArrow(_nearest_centres(queries.sparkSession, index.centres, probes), _with_cell(asked)), "sent")
+    blocks = sent.groupBy("cell").agg(F.ceil(F.count("*") / cell_queries).cast("long").alias("blocks"))
+    # One row per cell.
+    cells = F.broadcast(keep(index.parts.join(blocks, "cell"), "blocks"))
+    each_part, each_block = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("parts", "blocks"))
+    left = sent.join(cells, "cell").select("cell", F.pmod(F.xxhash64("query"), F.col("blocks")).alias("block"), each_part.alias("part"), "query", "vec")
+    right = index.cells.join(cells, "cell").select("cell", each_block.alias("block"), "part", "key", "vec")
+    number = F.concat_ws(" ", "cell", "block", "part").alias("cell")
+    return _search(left.select(number, "query", "vec"), right.select(number, "key", "vec"), index.key, k)

@@ -14,11 +14,13 @@ from pyspark.ml.feature import CountVectorizer, RegexTokenizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from postwatch.functions import arrays as A
 from postwatch.functions import text as X
 from postwatch.operators import features, metrics, ordinal
 from postwatch.session import keep, new_folder
+from postwatch.sources import tables
 
 # The swept settings.
 CNN_GRID = {
@@ -206,6 +208,23 @@ def score_new(model: PipelineModel, posts: DataFrame, names: Mapping = A.LABEL_N
     )
 
 
+def start_scoring(
+    stream: DataFrame, model: PipelineModel, folder: str, checkpoint: str, names: Mapping = A.LABEL_NAMES
+) -> StreamingQuery:
+    """Score the texts of a stream and write each micro-batch under its number; a batch that is run again is replaced.
+
+    A micro-batch is a table, so models whose stages join and regroup score streams as well.  What is there is taken,
+    then the stream ends.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scored = score_new(model, batch, names)
+        tables.write_batch(scored, folder, batch_id)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def padded_indices(
     texts: DataFrame, key: list[str], index: DataFrame, unknown: int, length: int
 ) -> DataFrame:

@@ -13,6 +13,20 @@ def append_table(df: DataFrame, database: str, table: str) -> None:
     df.write.mode("append").format("parquet").saveAsTable(f"{database}.{table}")
 
 
+def append_bucketed(df: DataFrame, database: str, table: str, key: str, buckets: int) -> None:
+    """Append to a managed table whose rows are dealt into ``buckets`` by the hash of ``key`` and sorted by it.
+
+    Tables with the same key and number of buckets are joined, and grouped by the key, without a shuffle.  The rows are
+    dealt before the write, so a bucket is one file per append and not one per task.
+    """
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    (
+        df.repartition(buckets, key).write.mode("append").format("parquet")
+        .bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{table}")
+    )
+
+
 def write_batch(
     df: DataFrame, path: str, batch_id: int, time: str | None = None, whole: bool = False
 ) -> None:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from postwatch.functions import clock
+from postwatch.plans import ingest, partials
+from postwatch.sources import messages
+from postwatch.streaming.ingest import BATCH_SECONDS, _trigger
 
 # How late a post may be.
 LATENESS = "1 hour"
@@ -44,3 +48,22 @@ def distinct_posts(rows: DataFrame, key: str = "id_str", ts: str = "ts",
         .drop("_salt")
         .dropDuplicatesWithinWatermark([key])
     )
+
+
+def start_rollups(
+    stream: DataFrame, settings: ingest.Settings, folder: str, checkpoint: str, source: str = "stream",
+    once: bool = False, seconds: int = BATCH_SECONDS, day_start: str | None = clock.DAY_START,
+) -> StreamingQuery:
+    """Decode messages and add each micro-batch to the store of partial counts at ``folder``.
+
+    The batch goes in under ``source`` and its number, so a batch that is run again after a failure counts
+    once.  No state is kept for windows: a post of any age corrects its own window.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        posts = messages.good(batch)
+        derived = ingest.six_tables(posts, settings)
+        partials.add(derived, folder, f"{source}-{batch_id}", day_start)
+
+    writer = messages.decode(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _trigger(writer, once, seconds).start()
