@@ -7,12 +7,15 @@ identifier made from its address, time and block, the time in the new format, an
 payload.  Records with a payload of at least ``REVISIT_BYTES`` that an earlier record has too become revisits.
 
 Archives are bounded in size, one per output file, and written and read through Spark's own sources
-(text with gzip, and binary files), so any store that Spark reaches will do and a lost task is done again.
+(text and binary files), so any store that Spark reaches will do and a lost task is done again.  Each record is a
+gzip member of its own, so it can be sought and read alone.
 
 Defined results: a null text is an empty payload; white space in an address is percent-encoded, a null address
 is ``urn:none``; a null id is written as an empty header and comes after all others; of repeated rows
-with one id and payload none revisits the other; a header line that cannot be read is skipped, up to the
-next that can, and a record cut off by the end of its file has what is there.
+with one id and payload none revisits the other, and each has its own record identifier; a header line that cannot be
+read (no declared length, a version that is not known, too few fields) is skipped, up to the next that can, and
+counted; a record cut off by the end of its file has what is there; a page id or length that is no number of 64 bits is null
+or 0; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import re
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +44,35 @@ FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 PLACE = "X-Page-Id"
 NO_ADDRESS = "urn:none"
+#: Closes every output file: the last byte of a gzip member, the highest of the size of a member under 16 MB.
+LAST_BYTE = "\0"
 
 
 def _sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def number(text: bytes | None) -> int | None:
+    """A whole number of 64 bits; null for anything else."""
+    if not text or not re.fullmatch(rb"[+-]?[0-9]{1,19}", text):
+        return None
+    found = int(text)
+    return found if -(1 << 63) <= found < 1 << 63 else None
+
+
+def packed(records: list[bytes]) -> pa.RecordBatch:
+    """One archive: a gzip member per record, without the last byte."""
+    members = [gzip.compress(r, 1, mtime=0) for r in records]
+    if members[-1][-1]:
+        members.append(gzip.compress(b"", 1, mtime=0))
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["archive"])
+
+
+def _partition() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
 def _address(url: str | None) -> bytes:
     return re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], (url or "").encode("utf-8", "replace")) or NO_ADDRESS.encode()
 
@@ -75,48 +102,64 @@ def http_block(page_id, html: bytes) -> bytes:
 def arc_files(batches, date: str, size: int):
     """Archives of a task's pages, versions 1 and 2 in turn."""
     made, held, n = 0, [], 0
-
-    def done():
-        return pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], ["archive"])
-
     for batch in batches:
         ids, urls, pages = (batch.column(k).to_pylist() for k in ("page_id", "url", "html"))
         for page_id, url, html in zip(ids, urls, pages):
             block = http_block(page_id, (html or "").encode("utf-8", "replace"))
             if held and n + len(block) > size:
-                yield done()
+                yield packed(held)
                 made, held, n = made + 1, [], 0
-            version, name = 1 + made % 2, f"part-{made}.arc"
+            # Spark names a task's files by its partition and their number.
+            version, name = 1 + made % 2, f"part-{_partition():05d}-c{made:03d}"
             if not held:
-                held.append(arc_start(version, name, date).rstrip(b"\n") + b"\n")
+                held.append(arc_start(version, name, date) + b"\n")
                 n = len(held[0])
-            held.append(arc_record(version, url, "0.0.0.0", date, "text/html", block, n, name))
-            n += len(held[-1]) + 1
+            held.append(arc_record(version, url, "0.0.0.0", date, "text/html", block, n, name) + b"\n")
+            n += len(held[-1])
     if held:
-        yield done()
+        yield packed(held)
 
 
-def parse_arc(data: bytes):
-    """Records ``(url, ip, date, content type, block)`` of an archive, the version block left out."""
-    at, version = 0, None
+def arc_records(data: bytes, skipped: list[int] | None = None):
+    """Records ``(url, ip, date, content type, block, offset)`` of an archive, the version block left out.
+
+    The places of lines that cannot be read are added to ``skipped``; nothing is raised for them.
+    """
+    at, fields_of = 0, len(FIELDS[1].split())
     while at < len(data):
         stop = data.find(b"\n", at)
+        line = data[at:] if stop < 0 else data[at:stop]
+        if stop >= 0 and line.startswith(b"filedesc://"):
+            declared = line.rsplit(b" ", 1)[-1]
+            length = int(declared) if declared.isdigit() and len(declared) < 19 else None
+            body = data[stop + 1 : stop + 1 + (length or 0)].split(b"\n")
+            version = number(body[0].split(b" ", 1)[0])
+            if version in FIELDS:
+                fields_of = len(FIELDS[version].split())
+                at = stop + 1 + length
+                continue
+            if length and len(body) > 1 and body[1].startswith(b"URL ") and body[1].endswith(b" Archive-length"):
+                # A version that is not known, but says what its lines hold.
+                fields_of = len(body[1].split())
+        else:
+            fields = line.rsplit(b" ", fields_of - 1)
+            if stop >= 0 and len(fields) == fields_of and fields[-1].isdigit() and len(fields[-1]) < 19:
+                length = int(fields[-1])
+                url, ip, date, kind = (x.decode("utf-8", "replace") for x in fields[:4])
+                yield url, ip, date, kind, data[stop + 1 : stop + 1 + length], at
+                at = stop + 1 + length
+                continue
+        if line.strip() and skipped is not None:
+            skipped.append(at)
         if stop < 0:
             return
-        line = data[at:stop]
-        if version is None and line.startswith(b"filedesc://"):
-            length = int(line.rsplit(b" ", 1)[-1])
-            version = int(data[stop + 1 : stop + 1 + length].split(b" ", 1)[0])
-            at = stop + 1 + length
-            continue
-        fields = line.rsplit(b" ", len(FIELDS[version or 1].split()) - 1)
-        if len(fields) < len(FIELDS[version or 1].split()) or not fields[-1].isdigit():
-            at = stop + 1  # a separator, or a line that cannot be read
-            continue
-        length = int(fields[-1])
-        url, ip, date, kind = (x.decode("utf-8", "replace") for x in fields[:4])
-        yield url, ip, date, kind, data[stop + 1 : stop + 1 + length]
-        at = stop + 1 + length
+        at = stop + 1
+
+
+def parse_arc(data: bytes):
+    """Records ``(url, ip, date, content type, block)`` of an archive."""
+    for *record, _ in arc_records(data):
+        yield tuple(record)
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes] | None:
@@ -132,17 +175,17 @@ def header_value(head: bytes, name: str) -> bytes | None:
     return m[1].strip() if m else None
 
 
-def described(url: str, date: str, block: bytes) -> dict:
-    """What WARC asks for besides what ARC has."""
+def described(url: str, date: str, block: bytes, at: str) -> dict:
+    """What WARC asks for besides what ARC has; ``at`` is the archive and the record's offset in it."""
     http = split_http(block)
     payload = http[1] if http else block
     place = header_value(http[0], PLACE) if http else None
     stamp = (date + "00000000000000")[:14] if date.isdigit() else "19700101000000"
     stamp = f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}T{stamp[8:10]}:{stamp[10:12]}:{stamp[12:]}Z"
     return {
-        "record": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {stamp} {_sha(block)}")),
+        "record": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {stamp} {_sha(block)} {at}")),
         "url": url, "stamp": stamp, "kind": "response" if http else "resource",
-        "place": int(place) if place and re.fullmatch(rb"-?\d+", place) else None,
+        "place": number(place),
         "digest": _sha(payload), "size": len(payload),
     }
 
@@ -154,26 +197,34 @@ NARROW_TYPES = [
 ]
 
 
+#: Kind of a row of the index that counts, as its size, the lines of an archive that could not be read.
+SKIPPED = "skipped"
+
+
 def _unpacked(batch):
-    for x in batch.column("content"):
+    """Name and bytes of each archive."""
+    for path, x in zip(batch.column("path").to_pylist(), batch.column("content")):
         data = x.as_py()
-        yield gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+        yield path.rsplit("/", 1)[-1], gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def arc_index(batches):
     for batch in batches:
-        for data in _unpacked(batch):
-            rows = [described(url, date, block) for url, _, date, _, block in parse_arc(data)]
+        for name, data in _unpacked(batch):
+            skipped: list[int] = []
+            rows = [described(url, date, block, f"{name} {at}") for url, _, date, _, block, at in arc_records(data, skipped)]
+            if skipped:
+                rows.append(dict.fromkeys((n for n, _ in NARROW_TYPES), None) | {"kind": SKIPPED, "size": len(skipped)})
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in NARROW_TYPES], [n for n, _ in NARROW_TYPES])
 
 
 def arc_blocks(batches):
     names = ["record", "stamp", "ip", "content_type", "url", "kind", "digest", "size", "place", "block"]
     for batch in batches:
-        for data in _unpacked(batch):
+        for name, data in _unpacked(batch):
             held, n = [], 0
-            for url, ip, date, kind, block in parse_arc(data):
-                d = described(url, date, block)
+            for url, ip, date, kind, block, at in arc_records(data):
+                d = described(url, date, block, f"{name} {at}")
                 held.append((d["record"], d["stamp"], ip, kind, url, d["kind"], d["digest"], d["size"], d["place"], block))
                 n += len(block)
                 if n > 4 << 20:
@@ -188,6 +239,10 @@ def _blocks(rows, names):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
+#: Fixed value: what closes a record.
+CLOSE = b"\r\n\r\n"
+
+
 def warc_record(row: dict) -> bytes:
     """One record, without the two line ends that close it."""
     block, kind = row["block"], row["kind"]
@@ -212,26 +267,26 @@ def warc_record(row: dict) -> bytes:
 def warc_files(batches, size: int):
     held, n, made = [], 0, 0
 
-    def start():
+    def start(first: str):
         body = b"software: postwatch\r\nformat: WARC File Format 1.0\r\n"
-        name = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {made}")
+        name = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {_partition()} {made} {first}")
         return (
             f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n"
             f"Content-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
-        ).encode() + body
+        ).encode() + body + CLOSE
 
     for batch in batches:
         for row in batch.to_pylist():
-            record = warc_record(row)
+            record = warc_record(row) + CLOSE
             if held and n + len(record) > size:
-                yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)], pa.binary())], ["archive"])
+                yield packed(held)
                 held, n, made = [], 0, made + 1
             if not held:
-                held.append(start())
+                held.append(start(row["record"]))
             held.append(record)
             n += len(record)
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)], pa.binary())], ["archive"])
+        yield packed(held)
 
 
 def parse_warc(data: bytes):
@@ -243,11 +298,11 @@ def parse_warc(data: bytes):
         if end < 0:
             return
         head = data[at : end + 2]
-        length = header_value(head, "Content-Length")
-        if not length or not length.isdigit():
+        length = number(header_value(head, "Content-Length"))
+        if length is None or length < 0:
             at += 7
             continue
-        at = end + 4 + int(length)
+        at = end + 4 + length
         yield head, data[end + 4 : at]
 
 
@@ -263,57 +318,58 @@ def warc_rows(batches):
         return None if x is None else x.decode("utf-8", "replace")
 
     def bare(x):
-        return None if x is None else x.removeprefix(b"<urn:uuid:").removesuffix(b">").decode()
+        return None if x is None else x.removeprefix(b"<urn:uuid:").removesuffix(b">").decode("utf-8", "replace")
 
     for batch in batches:
-        for data in _unpacked(batch):
+        for _, data in _unpacked(batch):
             rows = []
             for head, block in parse_warc(data):
                 kind = text(header_value(head, "WARC-Type"))
                 if kind == "warcinfo":
                     continue
                 http = split_http(block)
-                digest = (header_value(head, "WARC-Payload-Digest") or b"").decode().removeprefix("sha256:")
+                digest = text(header_value(head, "WARC-Payload-Digest") or b"").removeprefix("sha256:")
                 place = header_value(http[0], PLACE) if http else None
                 size = len(http[1] if http else block)
                 if kind == "revisit" and http:
-                    size = int(header_value(http[0], "Content-Length") or 0)
+                    size = max(0, number(header_value(http[0], "Content-Length")) or 0)
                 whole = kind == "revisit" or digest == _sha(http[1] if http else block)
                 rows.append((
                     bare(header_value(head, "WARC-Record-ID")), text(header_value(head, "WARC-Target-URI")),
                     text(header_value(head, "WARC-Date")), kind, bare(header_value(head, "WARC-Refers-To")),
-                    int(place) if place else None, size, digest, whole,
+                    number(place), size, digest, whole,
                 ))
             columns = zip(*rows) if rows else [[]] * len(READ_TYPES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, READ_TYPES)], [n for n, _ in READ_TYPES])
 
 
-def _write(archives: DataFrame, folder: str, end: str) -> None:
-    """One file per row: its bytes, closed by ``end``."""
+def _write(archives: DataFrame, folder: str) -> None:
+    """One file per row: its bytes and the last one."""
     (
         archives.select(F.col("archive").cast("string"))
-        .write.option("lineSep", end).option("maxRecordsPerFile", 1).option("compression", "gzip")
-        .option("zlib.compress.level", "BEST_SPEED").text(folder)
+        .write.option("lineSep", LAST_BYTE).option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
     )
 
 
 def _files(spark, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(folder).select("content")
+    return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
 def write_arc(pages: DataFrame, folder: str, date: str = "20200101000000", size: int = ARCHIVE_BYTES) -> None:
     """Legacy archives of ``pages (page_id, url, html)``."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    _write(rows.mapInArrow(lambda b: arc_files(b, date, size), "archive binary"), folder, "\n")
+    _write(rows.mapInArrow(lambda b: arc_files(b, date, size), "archive binary"), folder)
 
 
-def convert(spark, arc_folder: str, warc_folder: str, revisit_bytes: int = REVISIT_BYTES, size: int = ARCHIVE_BYTES) -> None:
-    """Convert all legacy archives in a folder.
+def convert(spark, arc_folder: str, warc_folder: str, revisit_bytes: int = REVISIT_BYTES, size: int = ARCHIVE_BYTES) -> int:
+    """Convert all legacy archives in a folder; gives the number of lines that could not be read.
 
     The earliest record of a payload is the one with the smallest page id in its HTTP header (none: last),
     then the smallest time and identifier.  Only narrow rows are grouped, and the archives are read twice.
     """
     index = keep(_files(spark, arc_folder).mapInArrow(arc_index, NARROW), "arc-index")
+    skipped = index.filter(F.col("kind") == SKIPPED).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    index = index.filter(F.col("kind") != SKIPPED)
     order = F.struct(F.col("place").isNull().alias("last"), "place", "stamp", "record", "url")
     firsts = keep(
         index.filter(F.col("size") >= revisit_bytes)
@@ -339,7 +395,8 @@ def convert(spark, arc_folder: str, warc_folder: str, revisit_bytes: int = REVIS
         "record", "stamp", "ip", "content_type", "url", "kind", "digest", "block",
         *[F.col(n + "_").alias(n) for n in ("first_record", "first_url", "first_stamp")],
     )
-    _write(out.mapInArrow(lambda b: warc_files(b, size), "archive binary"), warc_folder, "\r\n\r\n")
+    _write(out.mapInArrow(lambda b: warc_files(b, size), "archive binary"), warc_folder)
+    return skipped
 
 
 def read_warc(spark, folder: str) -> DataFrame:
