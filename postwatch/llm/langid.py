@@ -1,10 +1,13 @@
 """Language identification: scripts, letter trigrams per word, and a Viterbi path over the words.
 
-Training counts hashed letter trigrams per label, and which scripts a label's words use.  Prediction
-scores each word under the labels that its script allows, and the best path through the words, at a price
+Training counts hashed letter trigrams per label, and which scripts a label's words use.  A word's candidates are the
+labels that are written in its script; it is scored under these alone.  The best path through the words, at a price
 for every change of label, cuts a mixed text into spans.  The label with most letters names the text,
 and the score is its share of the letters.
 
+A trigram's probability mixes its share under the label with its share over all labels.  So a trigram that a label has
+never seen costs the same under every label, and one with little text takes no unknown words from the others.
+
 Defined results: a null text and a text without letters give ``und``, score 0 and no spans; without any
 labelled row everything is ``und``; a word in a script that no label uses scores alike under all of them;
 of labels with equally many letters the first in the order of code points wins.  A text is labelled in
@@ -40,7 +43,12 @@ BLOCK = 1 << 20
 #: Rows of a batch that are unpacked at once.
 ROWS = 2000
 NO_LABEL = "und"
-OUT_OF_SCRIPT = -30.0
+#: Share of the distribution over all labels in each label's own, and letters that a label's counts are measured against:
+#: what fewer letters say counts for less.
+BACKGROUND = 0.03
+LETTERS = 1000
+#: Score of a label that is no candidate.
+NEVER = -1e9
 
 #: First and last code points of scripts (Unicode blocks).
 SCRIPTS = [
@@ -115,7 +123,7 @@ def cut(pieces: list[str]) -> Words:
 class Model:
     labels: list[str]
     logs: np.ndarray  # BUCKETS x labels
-    allowed: np.ndarray  # scripts x labels, 0 or OUT_OF_SCRIPT
+    candidates: np.ndarray  # scripts x labels, whether a word in the script may be of the label
 
 
 def counts(batches, label: str, text: str):
@@ -186,20 +194,33 @@ def fit(
     labels = sorted(found["label"].unique().tolist())
     n = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(labels)))
     n[found["bucket"], np.searchsorted(labels, found["label"])] = found["n"]
-    grams, letters = n[:BUCKETS] + 0.1, n[BUCKETS:]
-    logs = np.log(grams / grams.sum(axis=0)).astype(np.float32)
-    share = letters / np.maximum(letters.sum(axis=0), 1)
-    allowed = np.where(share >= SCRIPT_SHARE, 0, OUT_OF_SCRIPT).astype(np.float32)
-    allowed[(share < SCRIPT_SHARE).all(axis=1)] = 0
-    return Model(labels, logs, allowed)
+    return model_of(labels, n[:BUCKETS], n[BUCKETS:])
+
+
+def model_of(labels: list[str], grams: np.ndarray, letters: np.ndarray) -> Model:
+    """The model of counted trigrams and of counted letters by script, a column per label."""
+    every = (grams.sum(axis=1, keepdims=True) + 1) / (grams.sum() + len(grams))
+    own = grams / (grams.sum(axis=0) + LETTERS)
+    logs = np.log((1 - BACKGROUND) * own + BACKGROUND * every).astype(np.float32)
+    candidates = letters / np.maximum(letters.sum(axis=0), 1) >= SCRIPT_SHARE
+    # A script that no label is written in.
+    candidates[~candidates.any(axis=1)] = True
+    return Model(labels, logs, candidates)
 
 
 def word_scores(w: Words, model: Model) -> np.ndarray:
-    """Log likelihood of each word under each label, with a handicap outside the label's scripts."""
-    s = np.empty((len(w.first), len(model.labels)), np.float32)
+    """Log likelihood of each word under each of its candidates; ``NEVER`` under the other labels."""
+    n = len(w.first)
+    s = np.full((n, len(model.labels)), NEVER, np.float32)
+    sizes = np.diff(np.append(w.first, len(w.trigrams)))
     for k in range(len(model.labels)):
-        s[:, k] = np.add.reduceat(model.logs[:, k][w.trigrams], w.first)
-    return s + model.allowed[w.script]
+        own = model.candidates[w.script, k]
+        if own.all():
+            s[:, k] = np.add.reduceat(model.logs[:, k][w.trigrams], w.first)
+        elif own.any():
+            trigrams = w.trigrams[np.repeat(own, sizes)]
+            s[own, k] = np.add.reduceat(model.logs[:, k][trigrams], np.cumsum(sizes[own]) - sizes[own])
+    return s
 
 
 def best_path(scores: np.ndarray, piece: np.ndarray, n_pieces: int, switch: float) -> np.ndarray:
