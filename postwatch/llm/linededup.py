@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postwatch.llm.common import fresh, keep, keyed_join, text_hash
+from postwatch.operators.ordinal import with_ordinal
 
 MIN_CHARS = 60
 #: Lines that one copy of an earlier document is compared with, about, unless it has more itself.
@@ -254,17 +255,20 @@ def repeated_lines(lines: DataFrame, min_chars: int = MIN_CHARS, load: int = LOA
     left = held.filter("doc_id IS NULL OR doc_id > first")
     removed = keep(aligned(lines, keep(left.select("first", "doc_id", "th").distinct(), "pairs"), min_chars, load), "aligned")
     # A run that stays is tried with its other holders, in rounds over growing, distinct parts of them, to the last one.
-    place = F.pmod(F.xxhash64("first"), F.lit(1 << 40)) / float(1 << 40)
-    others = held.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("first"), F.col("h").alias("shared"))
+    left = keep(kept_runs(lines, removed, left.select("doc_id", "th", "h", "n"), min_chars), "left")
+    if left.isEmpty():
+        return removed.unionAll(copies)
+    numbered, starts = numbered_holders(held, left)
     done = 0
     while True:
-        left = keep(kept_runs(lines, removed, left.select("doc_id", "th", "h", "n").filter(F.col("n") > done), min_chars), "left")
-        if left.isEmpty():
-            break
         upto = max(1, done) * GROWTH
+        # Each row meets the holders of its round by their numbers, so the work is that of the pairs tried.
+        tried = keyed_join(left, starts, [("h", "of")], ["doc_id", "th"], "inner").select(
+            "doc_id", "th", F.explode(F.sequence(F.lit(done).cast("long"), F.least(F.lit(upto), F.col("n")) - 1)).alias("k"), "start"
+        )
         pairs = (
-            left.join(others, F.col("h") == F.col("shared"))
-            .filter((place * F.col("n") >= done) & (place * F.col("n") < upto))
+            tried.select("doc_id", "th", (F.col("start") + F.col("k")).alias("number"))
+            .join(numbered, "number")
             .filter("doc_id IS NULL OR doc_id > first")
             .select("first", "doc_id", "th")
             .distinct()
@@ -275,9 +279,25 @@ def repeated_lines(lines: DataFrame, min_chars: int = MIN_CHARS, load: int = LOA
             "aligned",
         )
         done = upto
+        left = keep(kept_runs(lines, removed, left.filter(F.col("n") > done), min_chars), "left")
+        if left.isEmpty():
+            break
     return removed.unionAll(copies)
 
 
+def numbered_holders(held: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(number, first)`` of the holders of the runs in ``left``, those of a run in a row, and ``(of, start)`` of each run.
+
+    A run's holders are in the order of their hashes, so that a round meets earlier and later ones alike.
+    """
+    wanted = keep(left.select(F.col("h").alias("wanted")).distinct(), "wanted")
+    rows = keyed_join(held.filter("doc_id IS NOT NULL"), wanted, [("h", "wanted")], ["doc_id", "th"], "inner")
+    order = rows.select("h", F.xxhash64("doc_id", "h").alias("mix"), F.col("doc_id").alias("first"), "th")
+    numbered = with_ordinal(order, "h", "mix", "first", "th", name="number")
+    starts = numbered.groupBy(F.col("h").alias("of")).agg(F.min("number").alias("start"))
+    return numbered.select("number", "first"), keep(starts, "starts")
+
+
 def aligned(lines: DataFrame, pairs: DataFrame, min_chars: int = MIN_CHARS, load: int = LOAD) -> DataFrame:
     """``(doc_id, th, removed)`` of the later documents of ``pairs (first, doc_id, th)`` that have aligned blocks."""
     size = lines.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "hashes", "sizes")
