@@ -29,3 +29,36 @@ def test_large_logits():
 
 
 
+
+
+def test_the_model_does_not_depend_on_the_session(spark, monkeypatch):
+    registry.ship(spark)
+    monkeypatch.setattr(lmscore, "SHARD_WINDOWS", 40)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts, rows in ((8, "2000"), (64, "7"), (211, "100")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set(registry.BATCH_ROWS, rows)
+            scored = lmscore.score(docs.repartition(parts % 5 + 1), F.pmod(F.col("doc_id"), F.lit(10)) == 0)
+            found.append({r["doc_id"]: r["score"] for r in scored.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set(registry.BATCH_ROWS, registry.TEXT_ROWS)
+    for other in found[1:]:
+        assert max(abs(other[d] - x) for d, x in found[0].items()) < 1e-6 * max(map(abs, found[0].values()))
+
+
+def test_steps_do_not_depend_on_how_rows_come():
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 65, 300)
+    y = rng.integers(0, lmscore.CLASSES, int(sizes.sum())).astype(np.int32)
+    ends = np.append(0, np.cumsum(sizes))
+    out = []
+    for step in (300, 7, 64):
+        t = lmscore.Training(lmscore.first_weights(np.ones(lmscore.CLASSES)), 3, 0.01)
+        for a in range(0, 300, step):
+            b = min(300, a + step)
+            t.feed(sizes[a:b], y[ends[a] : ends[b]])
+        out.append(t.result())
+    assert out[0] == out[1] == out[2] and out[0][1] == int(sizes.sum())
