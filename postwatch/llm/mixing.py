@@ -189,7 +189,7 @@ def taken() -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed rows: the columns of ``docs``, ``pass``, ``shard`` and ``place``, a row per draw.
 
-    Written with ``partitionBy("shard")`` after a sort by shard and place, each shard is shuffled.
+    The rows of a shard lie together, shuffled: in the order of their places, which are hashes of the seed, the draw and the row.
     """
     did, dth, th, draws, draw = fresh(docs, "_d_id", "_d_th", "_th", "_draws", "_draw")
     pass_, shard, place = fresh(docs, "pass", "shard", "place")
@@ -203,6 +203,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = dealt.withColumnRenamed("_of", of)
     rows = docs.withColumn(th, text_hash(text_col))
     joined = keyed_join(rows, dealt, [(id_col, did), (th, dth), (source_col, of)], [id_col, th], "inner")
-    return joined.withColumn(draw, F.explode(draws)).select(
+    drawn = joined.withColumn(draw, F.explode(draws)).select(
         *docs.columns, F.col(draw)["pass"].alias(pass_), F.col(draw)["shard"].alias(shard), F.col(draw)["place"].alias(place)
     )
+    return drawn.repartition(shard).sortWithinPartitions(shard, place)
