@@ -5,7 +5,8 @@ columns of ``documents``.
 
 1. ``language_id``: documents without a language, and those of which no language holds half of the letters, go.
 2. ``line_dedup``: blocks of lines that an earlier document has are deleted; ``n_chars`` follows the text.
-3. ``simhash``: one document of each group of near-duplicates stays.
+3. ``simhash``: one document of each group of near-duplicates stays.  Near duplicates are those of the operator: fingerprints of
+   three-word shingles that differ in at most three bits.
 4. ``decontamination``: documents that hold a window of a benchmark item go.
 5. ``mixing``: documents are drawn by source to the target weights, a row per draw, dealt over shards.
 """
@@ -16,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.llm import decontaminate, langid, linededup, mixing, simhash
-from postwatch.llm.common import fresh, keep
+from postwatch.llm.common import fresh
 from postwatch.llm.registry import ship, table
+from postwatch.session import new_folder, remove, scratch
 
 #: Share of the letters that the text's language must have.
 LEAST_SHARE = 0.5
@@ -67,7 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The mix.  What a stage has kept for itself is removed when it has been written, and its input with it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            folder = new_folder(spark, name)
+            out.write.parquet(folder)
+        docs = spark.read.schema(out.schema).parquet(folder)
+        if before is not None:
+            remove(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
