@@ -24,6 +24,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -46,6 +47,8 @@ PLACE = "X-Page-Id"
 NO_ADDRESS = "urn:none"
 #: Closes every output file: the last byte of a gzip member, the highest of the size of a member under 16 MB.
 LAST_BYTE = "\0"
+#: Bytes of a compressed archive that are read at once.
+PART = 4096
 
 
 def _sha(data: bytes) -> str:
@@ -68,6 +71,25 @@ def packed(records: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["archive"])
 
 
+def unpacked(data: bytes) -> bytes:
+    """All members of a gzip file, up to what is none; data that is none at all is given back as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        # Read in small parts, as what a member leaves of a part is copied.
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(view):
+            part = view[at : at + PART]
+            try:
+                out.append(member.decompress(part))
+            except zlib.error:
+                return b"".join(out)
+            at += len(part)
+        at -= len(member.unused_data)
+    return b"".join(out)
+
+
 def _partition() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
@@ -205,7 +227,7 @@ def _unpacked(batch):
     """Name and bytes of each archive."""
     for path, x in zip(batch.column("path").to_pylist(), batch.column("content")):
         data = x.as_py()
-        yield path.rsplit("/", 1)[-1], gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+        yield path.rsplit("/", 1)[-1], unpacked(data)
 
 
 def arc_index(batches):
