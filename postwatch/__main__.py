@@ -2,12 +2,14 @@
 
     ingest  --messages DIR | --kafka SERVERS --topic T   --checkpoint DIR [--once]
             --stop-words FILE --tables DIR [--terms a,b] [--places DIR] [--max-offsets N] [--max-files N]
+            [--rollups DIR]
     replay  --raw DIR --stop-words FILE --tables DIR [--terms a,b] [--places DIR]
     rollup  --tables DIR --store DIR [--from TIME] [--to TIME] [--window]
+    compact --rollups DIR
 
 TIME is like ``2018-10-16 00:00:00 -0400``.  A roll-up takes all windows, those from ``--from`` on, those
 between both times (or one window between them with ``--window``), or, with ``--to`` alone, the six hours
-before it.
+before it.  With ``--rollups`` an ingest also keeps roll-ups that late posts correct; ``compact`` folds their parts.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import SparkSession
 from postwatch.functions import clock
 from postwatch.functions.words import TERMS, read_words
 from postwatch.operators import lookup
-from postwatch.plans import ingest, store
+from postwatch.plans import ingest, partials, store
 from postwatch.session import keep, scratch
-from postwatch.sources import messages
+from postwatch.sources import messages, transaction
 from postwatch.streaming import ingest as stream_ingest
 
 
@@ -46,6 +48,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     jobs.choices["ingest"].add_argument("--topic")
     jobs.choices["ingest"].add_argument("--checkpoint", required=True)
     jobs.choices["ingest"].add_argument("--once", action="store_true")
+    jobs.choices["ingest"].add_argument("--rollups")
+    jobs.add_parser("compact").add_argument("--rollups", required=True)
     job = jobs.add_parser("rollup")
     job.add_argument("--tables", required=True)
     job.add_argument("--store", required=True)
@@ -57,6 +61,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if args.job == "compact":
+        partials.compact(spark, args.rollups)
+        transaction.vacuum(args.rollups)
+        return
     if args.job == "rollup":
         derived = store.read_tables(spark, args.tables)
         start = clock.border(args.start) if args.start else None
@@ -86,7 +94,7 @@ def _ingest(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         stream = messages.stream_from_files(spark, args.messages, args.max_files)
     stream_ingest.start_ingest(
-        stream, settings, args.tables, args.checkpoint, once=args.once
+        stream, settings, args.tables, args.checkpoint, once=args.once, rollups=args.rollups
     ).awaitTermination()
 
 

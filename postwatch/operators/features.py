@@ -33,6 +33,8 @@ def fit_vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
+    # The ranges are found from a sample of the counts, so these are stored and the texts read once.
+    counted = keep(counted, "counted")
     ranked = with_ordinal(counted.withColumn("falling", -F.col("n")), "falling", "word")
     first = OOV_INDEX + 1
     return keep(ranked.select("word", (F.col("ordinal") + first).cast("int").alias("idx"), "n"), "vocabulary")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from postwatch.functions import clock
 from postwatch.operators import lookup
 from postwatch.operators import posts as P
+from postwatch.plans import partials
 from postwatch.session import keep, scratch
 from postwatch.sources import messages, tables
 
@@ -72,17 +73,23 @@ def write_tables(
         job.result()
 
 
-def ingest_batch(decoded: DataFrame, settings: Settings, folder: str, batch_id: int) -> None:
+def ingest_batch(
+    decoded: DataFrame, settings: Settings, folder: str, batch_id: int, rollups: str | None = None
+) -> None:
     """Write all tables of a batch of decoded messages; what is no record goes to ``bad_message``.
 
-    The batch feeds seven writers, so it is kept for the time of the call.
+    With ``rollups`` the batch also adds its partial counts to that store.  The batch feeds all these writers, so it
+    is kept for the time of the call.
     """
     decoded = decoded.persist()
     try:
         if not decoded.isEmpty():
             bad = decoded.select(messages.BAD).filter(f"{messages.BAD} IS NOT NULL")
             tables.write_batch(bad, f"{folder}/bad_message", batch_id)
-            write_tables(six_tables(messages.good(decoded), settings), folder, batch_id)
+            derived = six_tables(messages.good(decoded), settings)
+            write_tables(derived, folder, batch_id)
+            if rollups is not None:
+                partials.add(derived, rollups, f"stream-{batch_id}")
     finally:
         decoded.unpersist()
 

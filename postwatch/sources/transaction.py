@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import sys
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -30,6 +31,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 FORMAT = "published_files"
 #: Column that names the store of a row.
 STORE = "store"
+#: Seconds after which files of a write that was never published are taken for left ones.
+ORPHANS_AFTER = 86_400.0
 
 
 def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -145,16 +148,26 @@ def read(spark: SparkSession, folder: str, store: str, schema: str, labels: Sequ
     return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
 
 
-def vacuum(folder: str) -> int:
-    """Remove files that no reader sees any more; gives the number of runs removed.  Not while a write goes on."""
+def vacuum(folder: str, orphans_after: float = ORPHANS_AFTER) -> int:
+    """Remove files that no reader sees any more; gives the number of writes removed.
+
+    What a published write has been replaced by stays.  Files of writes that were never published may belong to one
+    that still goes on, so they are removed only when they are ``orphans_after`` seconds old.
+    """
     system, root = opened(folder)
     entries, held = manifests(folder), visible(folder)
-    live = {entry["run"] for entry in held.values()}
+    live, known = {entry["run"] for entry in held.values()}, {entry["run"] for entry in entries}
     gone = 0
     for run in system.get_file_info(pyarrow.fs.FileSelector(f"{root}/data", allow_not_found=True)):
-        if run.base_name not in live:
-            system.delete_dir(run.path)
-            gone += 1
+        if run.base_name in live:
+            continue
+        if run.base_name not in known:
+            inside = system.get_file_info(pyarrow.fs.FileSelector(run.path, recursive=True))
+            latest = max((f.mtime.timestamp() for f in [run, *inside] if f.mtime is not None), default=0.0)
+            if time.time() - latest < orphans_after:
+                continue
+        system.delete_dir(run.path)
+        gone += 1
     # The list of replaced labels must stay known, so that a late repeat of one of them is told.
     for entry in entries:
         if entry["run"] not in live and not entry["replaces"]:

@@ -27,14 +27,15 @@ def start_ingest(
     checkpoint: str,
     once: bool = False,
     seconds: int = BATCH_SECONDS,
+    rollups: str | None = None,
 ) -> StreamingQuery:
-    """Decode messages and write the six tables per batch below ``folder``.
+    """Decode messages and write the six tables per batch below ``folder``, and their partial counts to ``rollups``.
 
     ``once`` takes what is there and ends.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest.ingest_batch(batch, settings, folder, batch_id)
+        ingest.ingest_batch(batch, settings, folder, batch_id, rollups)
 
     writer = (
         messages.decode(stream)

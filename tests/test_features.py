@@ -162,3 +162,11 @@ def test_most_similar_of_many_queries(spark):
     got = vectors.most_similar(df.withColumnRenamed("id", "query"), df, "id", "vec", 1).collect()
     assert {r["query"]: r["id"] for r in got} == {i: i for i in range(300)}
     assert vectors.most_similar(df.limit(0).withColumnRenamed("id", "query"), df, "id", "vec").count() == 0
+
+
+def test_sequences_are_made_in_several_tasks(spark):
+    """Compact texts are small, what is made of their words is not: their partitions are not joined into one."""
+    df = spark.range(200).select(F.col("id").alias("k"), F.lit("a b c").alias("text"))
+    index = spark.createDataFrame([("a", 1), ("b", 2)], "word STRING, idx INT")
+    got = features.sentence_to_indices(df, ["k"], index, 9).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r["part"] for r in got}) > 1 and all(r["indices"] == [1, 2, 9] for r in got) and len(got) == 200
