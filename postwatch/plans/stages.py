@@ -186,7 +186,10 @@ def rbf_classifier(
 
 
 def text_pipeline(key: Sequence[str], length: int, num_words: int = features.NUM_WORDS, vectors: DataFrame | None = None) -> list:
-    """Clean, index and pad; then a bag of words, or the average of ``vectors (idx, vec)``."""
+    """Clean, index and pad; then a bag of words, or the average of ``vectors (idx, vec)``.
+
+    The indexer gives no index from ``num_words`` on, so the vectors behind it are never met and not stored.
+    """
     stages = [
         Cleaner(inputCol="text", outputCol="cleaned"),
         WordIndexer(inputCol="cleaned", outputCol="indices", key=list(key), numWords=num_words),
@@ -196,5 +199,5 @@ def text_pipeline(key: Sequence[str], length: int, num_words: int = features.NUM
         bag = classify.CountVectorizer(inputCol="known", outputCol="features", binary=True)
         return [*stages, IndexWords(inputCol="padded", outputCol="known"), bag]
     average = VectorAverage(inputCol="padded", outputCol="features", key=list(key), length=length)
-    average.table = vectors
+    average.table = vectors.filter(F.col("idx") < num_words)
     return [*stages, average]
