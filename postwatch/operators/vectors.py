@@ -27,6 +27,9 @@ from postwatch.session import keep
 #: Vectors, and queries, that meet in one cell.
 CELL_VECTORS = 20_000
 CELL_QUERIES = 5_000
+#: Queries that a cell holds at most where more of them save copies of the vectors, and how many copies are made before.
+MOST_QUERIES = 50_000
+COPIES = 4
 DIGITS = 12
 #: Vectors that the centres are learnt from, at most, and on average in a cell of the index.
 SAMPLE = 100_000
@@ -100,17 +103,25 @@ def _doubles(df: DataFrame, key: str, vec: str, name: str) -> DataFrame:
     return df.filter(F.col(vec).isNotNull()).select(F.col(key).alias(name), F.col(vec).cast("array<double>").alias("vec"))
 
 
+def _dealt(n: int, asked: int, most: int) -> int:
+    """Parts of ``asked`` rows as long as these are few; then larger ones, of at most ``most`` rows."""
+    return max(1, min(math.ceil(n / asked), max(COPIES, math.ceil(n / max(asked, most)))))
+
+
 def most_similar(
     queries: DataFrame, vectors: DataFrame, key: str, vec: str, k: int = 5, cell_vectors: int = CELL_VECTORS, cell_queries: int = CELL_QUERIES
 ) -> DataFrame:
     """The ``k`` nearest vectors of each query ``(query, vec)`` by cosine, exactly: ``(query, key, cosine, place)``.
 
     Queries and keys are unique.  Every query is compared with every vector, in cells of about ``cell_queries`` x
-    ``cell_vectors``: the vectors are copied once per block of queries, the queries once per group of vectors.
+    ``cell_vectors``: the vectors are copied once per block of queries, the queries once per group of vectors.  Cells that are
+    smaller than a task can hold grow with the tables, so that either side is copied a bounded number of times up to
+    ``COPIES * MOST_QUERIES`` queries and ``COPIES * CELL_VECTORS`` vectors, and more slowly than by the size asked for behind.
     """
     asked, stored = _doubles(queries, "query", vec, "query"), _doubles(vectors, key, vec, "key")
     n_queries, n_vectors = asked.count(), stored.count()
-    blocks, groups = max(1, math.ceil(n_queries / cell_queries)), max(1, math.ceil(n_vectors / cell_vectors))
+    blocks = _dealt(n_queries, cell_queries, MOST_QUERIES)
+    groups = _dealt(n_vectors, cell_vectors, CELL_VECTORS)
     # Small tables too are spread over the cores.
     groups = max(groups, min(vectors.sparkSession.sparkContext.defaultParallelism, n_vectors // 1000))
     block = F.pmod(F.xxhash64("query"), F.lit(blocks))
