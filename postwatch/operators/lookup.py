@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postwatch.functions import text as X
+from postwatch.session import keep
 
 # A dictionary above this estimate is not broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+#: Keys that are spread at most; they are found in one of ``SEEN`` rows, where they occur ``LEAST_SEEN`` times at least.
+HOT_KEYS = 1000
+SEEN = 64
+LEAST_SEEN = 16
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -31,6 +36,24 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("b")).first()["b"]
 
 
+def _salted(rows: DataFrame, dictionary: DataFrame, key: str, spread: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``_salt``: rows of hot keys, and nulls, get one of ``SALTS``, and hot dictionary rows are there per salt.
+
+    Which keys are hot is seen in a part of the rows; it decides where rows meet, and not which.
+    """
+    part = rows.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(*spread), F.lit(SEEN)) == 0))
+    often = part.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_SEEN)
+    # Stored, as both sides must agree on it.
+    top = often.orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(keep(top, "hot"))
+    # Other bits of the hash than those that picked the part.
+    salt = F.pmod(F.shiftright(F.xxhash64(*spread), 16), F.lit(SALTS)).cast("int")
+    spread_out = F.col("_hot").isNotNull() | F.col(key).isNull()
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.when(spread_out, salt).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted, dictionary.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+
+
 def lookup_join(
     rows: DataFrame,
     dictionary: DataFrame,
@@ -44,13 +67,11 @@ def lookup_join(
     The dictionary should be a stored table, as its size is measured first.  Up to ``limit``
     bytes it is broadcast and the rows stay where they are.  Beyond, both sides are shuffled by
     the key and a salt: the rows of a hot key (nulls too) spread over ``SALTS`` tasks by the hash
-    of their ``spread`` columns, and every dictionary row is there once per salt.
+    of their ``spread`` columns, and its dictionary row is there once per salt; all other rows are there once.
     """
     if measured_bytes(dictionary) <= limit:
         return rows.join(F.broadcast(dictionary), key, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    copies = dictionary.withColumn("_salt", salts)
+    salted, copies = _salted(rows, dictionary, key, spread)
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
