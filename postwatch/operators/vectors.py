@@ -34,6 +34,10 @@ DIGITS = 12
 #: Vectors that the centres are learnt from, at most, and on average in a cell of the index.
 SAMPLE = 100_000
 PER_CELL = 1_000
+#: Vectors of the sample that a centre is learnt from on average, at least.
+PER_CENTRE = 40
+#: Products of rows and centres that a task forms at once.
+PRODUCTS = 1_000_000
 
 
 def cosine_of_pairs(
@@ -147,6 +151,8 @@ def build_index(
 ) -> Index:
     """Index all vectors by the nearest of the centres, which are learnt from about ``sample`` of them, picked by hash.
 
+    There are so many cells that each has about ``per_cell`` vectors, but no more than the sample can tell apart: beyond that
+    cells grow with the table, and the centres, which every task holds, do not.
     A cell of more than ``cell_vectors`` is cut into parts by the hash of the key, so a crowded spot fills several tasks.
     Zero vectors, which are near to nothing, lie in the first cell.
     """
@@ -154,7 +160,7 @@ def build_index(
     size = A.norm(F.col("vec"))
     rows = keep(rows.withColumn("unit", F.when(size > 0, F.transform("vec", lambda x: x / size)).otherwise(F.col("vec"))), "units")
     n = rows.count()
-    n_cells = max(1, round(n / per_cell))
+    n_cells = max(1, min(round(n / per_cell), sample // PER_CENTRE))
     share = min(1.0, sample / max(1, n))
     picked = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 20)) < share * (1 << 20)).filter(A.norm(F.col("unit")) > 0)
     learnt = picked.select(array_to_vector("unit").alias("features"))
@@ -180,6 +186,7 @@ def _nearest_centres(spark, centres: np.ndarray, probes: int):
     """Adds the ``probes`` centres nearest to ``unit`` by cosine, a row each."""
     size = np.sqrt((centres * centres).sum(axis=1, keepdims=True))
     shared = spark.sparkContext.broadcast(centres / np.where(size > 0, size, 1))
+    products = PRODUCTS
 
     def run(batches):
         for batch in batches:
@@ -187,9 +194,13 @@ def _nearest_centres(spark, centres: np.ndarray, probes: int):
                 continue
             unit = batch.column(batch.schema.get_field_index("unit"))
             flat = unit.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            near = flat @ shared.value.T if shared.value.shape[1] == flat.shape[1] else np.zeros((len(flat), 1))
-            most = min(probes, near.shape[1])
-            cells = np.argsort(-near, axis=1, kind="stable")[:, :most]
+            known = shared.value.T if shared.value.shape[1] == flat.shape[1] else np.zeros((flat.shape[1], 1))
+            most = min(probes, known.shape[1])
+            step, parts = max(1, products // known.shape[1]), []
+            for at in range(0, len(flat), step):
+                near = flat[at : at + step] @ known
+                parts.append(near.argmax(axis=1)[:, None] if most == 1 else np.argsort(-near, axis=1, kind="stable")[:, :most].copy())
+            cells = np.concatenate(parts)
             rows = pa.array(np.repeat(np.arange(batch.num_rows), most))
             columns = [c.take(rows) for c in batch.columns]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cells.ravel().astype(np.int64))], [*batch.schema.names, "cell"])
