@@ -166,6 +166,8 @@ def text_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     labeled = B.documents(spark, sf_dir).join(labels, "doc_id").select(
         "doc_id", "text", F.col("quality").alias("label")
     )
+    # Four passes read them.
+    labeled = keep(labeled, "labeled")
     vocabulary = features.kept_words(features.fit_vocabulary(labeled), features.NUM_WORDS)
     stored = vector_words(spark, sf_dir).drop("word")
     words = vocabulary.join(stored, vocabulary["idx"] - 2 == stored["vec_id"]).select("idx", "word", "vec")
@@ -176,10 +178,12 @@ def text_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.write_splits(prepared, folder)
     # A text counts by the words it has: its padded indices as a sparse bag of words.
     bag = classify.CountVectorizer(inputCol="words", outputCol="features", binary=True)
-    as_words = F.transform(F.filter("indices", lambda i: i > 0), lambda i: i.cast("string"))
+    # The padding is 0, and no index lies below it.
+    as_words = F.array_remove("indices", 0).cast("array<string>")
 
     def part(name: str) -> DataFrame:
-        return tables.read_split(spark, folder, name).withColumn("words", as_words)
+        # Stored without the padding, as several passes read them.
+        return keep(tables.read_split(spark, folder, name).select("doc_id", "label", as_words.alias("words")), name)
 
     model = classify.fit(part("train"), classify.binary_regression(maxIter=10), [bag])
     return classify.report(classify.judged(model.transform(part("valid"))))

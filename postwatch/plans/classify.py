@@ -225,13 +225,15 @@ def start_scoring(
     return writer.trigger(availableNow=True).start()
 
 
+def _padded(sequences: DataFrame, length: int) -> DataFrame:
+    return sequences.withColumn("indices", A.trim(A.pad(F.col("indices"), length), length))
+
+
 def padded_indices(
     texts: DataFrame, key: list[str], index: DataFrame, unknown: int, length: int
 ) -> DataFrame:
     """Index sequences brought to the training length: padded, and cut where they are longer."""
-    sequences = features.sentence_to_indices(texts, key, index, unknown)
-    padded = A.trim(A.pad(F.col("indices"), length), length)
-    return sequences.withColumn("indices", padded)
+    return _padded(features.sentence_to_indices(texts, key, index, unknown), length)
 
 
 def prepare(
@@ -243,9 +245,10 @@ def prepare(
     """
     length = features.padded_length(labeled)
     index = keep(features.word_index(vectors), "index")
-    mapped = padded_indices(labeled, [key], index, unknown, length)
+    mapped = features.sentence_to_indices(labeled, [key], index, unknown)
     split = ordinal.split_positional(labeled.select(key, "label"), key, fraction)
-    return mapped.join(split, key), length
+    # Padded behind the join, so that no padding is shuffled.
+    return _padded(mapped.join(split, key), length), length
 
 
 def gaussian_stats(df: DataFrame, label: str, vec: str) -> DataFrame:
