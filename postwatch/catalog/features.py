@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from postwatch import schemas
 from postwatch.catalog import base as B
 from postwatch.catalog.base import query
 from postwatch.catalog.sources import vector_words
@@ -155,6 +159,35 @@ def pad_to_train_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return padded.withColumn("indices", B.joined("indices"))
 
 
+def _row_sums():
+    """Sum, and sum weighted by place, of each row of a matrix, 0 where it is null; needs nothing of this package where it runs."""
+
+    def run(batches):
+        for batch in batches:
+            vec, pos = batch.column("vec"), batch.column("pos")
+            sizes = vec.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            cells, total, placed = vec.flatten(), np.zeros(len(sizes)), np.zeros(len(sizes))
+            x, none = cells.to_numpy(zero_copy_only=False), np.zeros(len(sizes), bool)
+            widths = set(np.unique(sizes).tolist()) - {0}
+            if len(widths) == 1:
+                width = widths.pop()
+                each = x.reshape(-1, width)
+                total[sizes > 0], placed[sizes > 0] = each.sum(axis=1), each @ np.arange(1.0, width + 1)
+            elif widths:
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                column = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+                total, placed = (np.bincount(row, w, len(sizes)) for w in (x, x * column))
+            if cells.null_count:
+                # A row with a null has no sum.
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                none[row[cells.is_null().to_numpy(zero_copy_only=False)]] = True
+            place = pos.fill_null(0).to_numpy(zero_copy_only=False) + 1
+            sums = [pa.array(s, pa.float64(), mask=none) for s in (total, place * placed)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *sums], ["conv_id", "turn", "pos", "n", "total", "placed"])
+
+    return run
+
+
 @query(
     "sentence_to_matrix",
     f"""WITH {TURNS},
@@ -181,16 +214,19 @@ def sentence_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     unknown = known.filter(F.col("word") == features.UNKNOWN_WORD).first()["idx"]
     length = features.padded_length(turns)
     matrices = features.sentence_to_matrix(turns, ["conv_id", "turn"], known, unknown, length)
-    row_total = F.transform("matrix", lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + x))
-    placed = F.transform("matrix", lambda r, i: (i + 1) * F.aggregate(
-        F.transform(r, lambda x, j: x * (j + 1)), F.lit(0.0), lambda s, x: s + x))
-    return matrices.select(
-        "conv_id",
-        "turn",
-        F.size("matrix").alias("n_rows"),
-        F.size(F.element_at("matrix", -1)).alias("n_columns"),
-        F.round(F.aggregate(row_total, F.lit(0.0), lambda s, x: s + x), 4).alias("total"),
-        F.round(F.aggregate(placed, F.lit(0.0), lambda s, x: s + x), 2).alias("placed"),
+    # A row of a matrix at a time: few bytes each, whatever the longest turn is.  The sums of a row of zeros are known.
+    zeros = F.array_repeat(F.lit(0.0), known.agg(F.max(F.size("vec"))).first()[0])
+    rows = matrices.select("conv_id", "turn", F.posexplode_outer("matrix").alias("pos", "vec")).select(
+        "conv_id", "turn", "pos", F.size("vec").alias("n"), F.when(F.col("vec") != zeros, F.col("vec")).alias("vec"))
+    key = matrices.select("conv_id", "turn").schema
+    sums = rows.mapInArrow(_row_sums(), T.StructType([*key.fields, *schemas.fields(
+        pos=T.IntegerType(), n=T.IntegerType(), total=T.DoubleType(), placed=T.DoubleType()).fields]))
+    whole = F.count("total") == F.count("*")
+    return sums.groupBy("conv_id", "turn").agg(
+        F.count("pos").cast("int").alias("n_rows"),
+        F.max_by("n", "pos").alias("n_columns"),
+        F.when(whole, F.round(F.coalesce(F.sum("total"), F.lit(0.0)), 4)).alias("total"),
+        F.when(whole, F.round(F.coalesce(F.sum("placed"), F.lit(0.0)), 2)).alias("placed"),
     )
 
 
