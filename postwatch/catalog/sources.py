@@ -164,9 +164,10 @@ SELECT 'tweet_count', {B.sql_moment('ends.e')}, '', coalesce(n, 0) FROM ends LEF
 @query("store_backfill", STORE_BACKFILL)
 def store_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five tables over a range wider than the data, written twice and read back."""
-    own = P.drop_retweets(B.posts(spark, sf_dir))
+    # Posts are joined, and searched for terms, once for both runs; of the tagged posts the roll-ups need no text.
+    own = keep(P.drop_retweets(B.posts(spark, sf_dir)), "own")
     derived = {
-        "tb_tweet": P.tagged_posts(own, B.TERMS, ["ts"]), "tb_user": P.user_rows(own, ["ts"]),
+        "tb_tweet": keep(P.tagged_posts(own, B.TERMS, ["ts"]).drop("tweet"), "tb_tweet"), "tb_user": P.user_rows(own, ["ts"]),
         "tb_keyword": P.keyword_rows(own, B.STOP_WORDS, ["ts"]), "tb_hashtag": P.hashtag_rows(own, ["ts"]),
     }
     events = B.table(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))

@@ -1,7 +1,7 @@
 """Steps that are stored once and read by several passes."""
 
-from postwatch.catalog import learning
-from postwatch.plans import classify
+from postwatch.catalog import learning, sources
+from postwatch.plans import classify, store
 
 
 def test_no_padding_is_shuffled(spark):
@@ -34,3 +34,13 @@ def test_labelled_texts_are_stored_once(spark, tmp_path, monkeypatch):
     kept = table_reads(monkeypatch, learning)
     assert learning.text_pipeline(spark, folder(spark, tmp_path)).count() == 1
     assert {"labeled", "train", "valid"} <= set(kept)
+
+
+def test_posts_are_joined_once_for_both_runs(spark, tmp_path, monkeypatch):
+    kept, seen = table_reads(monkeypatch, sources), []
+    update = store.update_store
+    monkeypatch.setattr(store, "update_store", lambda counted, path: seen.append(
+        counted["keywords"]._jdf.queryExecution().optimizedPlan().toString()) or update(counted, path))
+    found = sources.store_backfill(spark, folder(spark, tmp_path))
+    assert found.filter("store = 'disease' AND item = 'that'").agg({"mentions": "sum"}).first()[0] == 30
+    assert kept[:2] == ["own", "tb_tweet"] and len(seen) == 2 and not any("Join" in p for p in seen)
