@@ -34,7 +34,7 @@ ADAM_DECAY = (0.9, 0.999)
 ADAGRAD_START = 0.1
 TINY = 1e-7
 #: Products that a task forms at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Bytes of weights, over all live settings, that go to the tasks and back.
 MOST_WEIGHTS = 256 * 1024 * 1024
 
@@ -70,15 +70,21 @@ class Optimizer:
 def _chunks():
     """A function over the rows of a task that does not need this package where it runs."""
 
-    def rows(batches, width: int, classes: list, chunk: int):
-        """Places, values, row bounds, class numbers and weights, in parts of at most ``chunk`` products."""
+    def rows(batches, width: int, classes: list, chunk: int, n_features: int):
+        """Places, values, row bounds, class numbers and weights, in parts of at most ``chunk`` products.
+
+        Places are None where every row has all features.
+        """
         number = {c: i for i, c in enumerate(classes)}
         for batch in batches:
             values, given = batch.column("values"), batch.column("positions")
             sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.append(0, np.cumsum(sizes))
             x = values.flatten().to_numpy(zero_copy_only=False)
-            if given.null_count:
+            dense = given.null_count > 0 and bool((sizes == n_features).all())
+            if dense:
+                at = None
+            elif given.null_count:
                 at = np.arange(len(x)) - np.repeat(ends[:-1], sizes)
             else:
                 at = given.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -89,11 +95,13 @@ def _chunks():
                 last = max(first + 1, int(np.searchsorted(ends, ends[first] + chunk // width, "right")) - 1)
                 last = min(last, first + max(1, chunk // width), len(sizes))
                 part = slice(ends[first], ends[last])
-                yield at[part], x[part], ends[first : last + 1] - ends[first], y[first:last], w[first:last]
+                yield at if dense else at[part], x[part], ends[first : last + 1] - ends[first], y[first:last], w[first:last]
                 first = last
 
     def scores(weights: np.ndarray, at, x, ends):
         """Scores of each row: rows x settings * classes; the last row of the weights is the bias."""
+        if at is None:
+            return x.reshape(len(ends) - 1, len(weights) - 1) @ weights[:-1] + weights[-1]
         out = np.tile(weights[-1], (len(ends) - 1, 1))
         full = np.flatnonzero(np.diff(ends))
         if len(full):
@@ -125,7 +133,7 @@ def gradients(rows: DataFrame, weights: np.ndarray, classes: Sequence) -> tuple[
         total = np.zeros_like(w)
         # Behind the features: the bias, the losses (in the first places), and the rows' weights.
         loss, seen, touched = np.zeros(n_settings), 0.0, np.zeros(len(w), bool)
-        for at, x, ends, y, weight in each(batches, width, names, chunk):
+        for at, x, ends, y, weight in each(batches, width, names, chunk, n_features):
             z = scores(w, at, x, ends).reshape(len(y), n_settings, n_classes)
             z -= z.max(axis=2, keepdims=True)
             np.exp(z, out=z)
@@ -136,7 +144,10 @@ def gradients(rows: DataFrame, weights: np.ndarray, classes: Sequence) -> tuple[
             r = (z * weight[:, None, None]).reshape(len(y), width)
             seen += float(weight.sum())
             total[-1] += r.sum(axis=0)
-            if len(at):
+            if at is None:
+                total[:-1] += x.reshape(len(y), n_features).T @ r
+                touched[:] = True
+            elif len(at):
                 parts = x[:, None] * np.repeat(r, np.diff(ends), axis=0)
                 order = np.argsort(at, kind="stable")
                 places, starts = np.unique(at[order], return_index=True)
@@ -177,7 +188,7 @@ def predictions(rows: DataFrame, weights: np.ndarray, classes: Sequence, names:
 
     def run(batches):
         n = np.zeros((n_settings, n_classes, n_classes), np.int64)
-        for at, x, ends, y, _ in each(batches, width, labels, chunk):
+        for at, x, ends, y, _ in each(batches, width, labels, chunk, n_features):
             found = scores(shared.value, at, x, ends).reshape(len(y), n_settings, n_classes).argmax(axis=2)
             known = y >= 0
             np.add.at(n, (np.arange(n_settings)[None, :], y[known, None], found[known]), 1)
