@@ -226,7 +226,8 @@ def start_scoring(
 
 
 def _padded(sequences: DataFrame, length: int) -> DataFrame:
-    return sequences.withColumn("indices", A.trim(A.pad(F.col("indices"), length), length))
+    indices = F.col("indices")
+    return sequences.withColumn("indices", F.when(F.size(indices) > length, A.trim(indices, length)).otherwise(A.pad(indices, length)))
 
 
 def padded_indices(
@@ -247,8 +248,8 @@ def prepare(
     index = keep(features.word_index(vectors), "index")
     mapped = features.sentence_to_indices(labeled, [key], index, unknown)
     split = ordinal.split_positional(labeled.select(key, "label"), key, fraction)
-    # Padded behind the join, so that no padding is shuffled.
-    return _padded(mapped.join(split, key), length), length
+    # Padded behind the join and the order in which splits are stored, so that no padding is shuffled or sorted.
+    return _padded(mapped.join(split, key).sortWithinPartitions("split"), length), length
 
 
 def gaussian_stats(df: DataFrame, label: str, vec: str) -> DataFrame:

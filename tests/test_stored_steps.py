@@ -2,6 +2,7 @@
 
 from postwatch.catalog import learning, sources
 from postwatch.plans import classify, store
+from postwatch.sources import tables
 
 
 def test_no_padding_is_shuffled(spark):
@@ -44,3 +45,22 @@ def test_posts_are_joined_once_for_both_runs(spark, tmp_path, monkeypatch):
     found = sources.store_backfill(spark, folder(spark, tmp_path))
     assert found.filter("store = 'disease' AND item = 'that'").agg({"mentions": "sum"}).first()[0] == 30
     assert kept[:2] == ["own", "tb_tweet"] and len(seen) == 2 and not any("Join" in p for p in seen)
+
+
+def test_no_padding_is_sorted(spark, tmp_path):
+    labeled = spark.createDataFrame([(i, "a " * (i + 1), i % 2) for i in range(9)], "k long, text string, label int")
+    vectors = spark.createDataFrame([(0, "<EOF>"), (1, "a"), (2, "<unk>")], "idx int, word string")
+    rows, length = classify.prepare(labeled, "k", vectors, 2)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # The order in which splits are written stands below the padding.
+    assert plan.index("array_repeat") < plan.index("Sort [split")
+    tables.write_splits(rows, str(tmp_path / "s"))
+    got = {r["k"]: r["indices"] for r in spark.read.parquet(str(tmp_path / "s")).collect()}
+    assert length == 10 and got == {i: [1] * (i + 1) + [0] * (9 - i) for i in range(9)}
+
+
+def test_longer_texts_are_cut_and_shorter_ones_padded(spark):
+    texts = spark.createDataFrame([(1, "a b a b"), (2, "a"), (3, ""), (4, None), (5, "b b b")], "k long, text string")
+    index = spark.createDataFrame([("a", 1), ("b", 2)], "word string, idx int")
+    got = {r["k"]: r["indices"] for r in classify.padded_indices(texts, ["k"], index, 3, 3).collect()}
+    assert got == {1: [1, 2, 1], 2: [1, 0, 0], 3: [0, 0, 0], 4: [0, 0, 0], 5: [2, 2, 2]}
