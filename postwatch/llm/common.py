@@ -59,16 +59,17 @@ def keyed_join(
     broadcast.  Beyond, both sides are shuffled by key and salt, so that the rows of a hot key
     spread over ``salts`` tasks, and every dictionary row is there once per salt.  One salt is for keys
     that cannot be hot, such as hashes of a row's own place; no limit is for dictionaries that grow with
-    the rows, which are then shuffled at every size.
+    the rows, which are then shuffled at every size.  The hint keeps Spark from broadcasting what is to be shuffled: it
+    goes by the size of the files, which are compressed, and the copies count for nothing in it.
     """
     if limit and measured_bytes(dictionary) <= limit:
         return rows.join(F.broadcast(dictionary), match(rows, dictionary, keys), how)
     if salts == 1:
-        return rows.join(dictionary, match(rows, dictionary, keys), how)
+        return rows.join(dictionary.hint("merge"), match(rows, dictionary, keys), how)
     salt, other = fresh(rows, "_salt", "_salt_of")
     rows = rows.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = dictionary.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(copies, match(rows, copies, [*keys, (salt, other)]), how).drop(salt, other)
+    return rows.join(copies.hint("merge"), match(rows, copies, [*keys, (salt, other)]), how).drop(salt, other)
 
 
 def _changes(edges: DataFrame) -> tuple:

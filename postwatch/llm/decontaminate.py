@@ -88,8 +88,9 @@ def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW, rarest: in
 
 def lists(items: DataFrame, index: DataFrame, places: DataFrame) -> DataFrame:
     """Posting lists of item positions ``(ik, p)``, less their offsets: ``(doc_id, th, ik, p, diagonal)``."""
+    known = items.select(F.col("ik").alias("of"), "w")
     looked_up = keep(
-        places.join(items, "ik")
+        keyed_join(places, known, [("ik", "of")], ["ik", "p"], "inner", salts=1)
         .select(F.hash(F.get("w", F.col("p"))).alias("anchor"), F.struct("ik", "p").alias("x"))
         .groupBy("anchor")
         .agg(F.collect_list("x").alias("at")),
@@ -209,7 +210,8 @@ def decontaminate(
         "candidates",
     )
     rows = docs.withColumn(th, text_hash(text_col))
-    joined = keyed_join(rows, hit, [(id_col, did), (th, dth)], [id_col, th])
+    # Hits grow with the documents; their keys are a row's own, so none is copied.
+    joined = keyed_join(rows, hit, [(id_col, did), (th, dth)], [id_col, th], salts=1)
     if near:
         nearby = keep(
             keyed_join(near_items(offsets, sets), known, [("ik", "of")], ["doc_id"], "inner")
@@ -217,7 +219,7 @@ def decontaminate(
             .agg(F.array_sort(F.collect_set("item")).alias(close)),
             "near",
         )
-        joined = keyed_join(joined, nearby, [(id_col, nid), (th, nth)], [id_col, th])
+        joined = keyed_join(joined, nearby, [(id_col, nid), (th, nth)], [id_col, th], salts=1)
     # The array of one binds the words, so that they are split once.
     matched = F.transform(
         F.array(words(F.col(text_col))),
