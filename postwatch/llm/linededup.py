@@ -267,8 +267,7 @@ def repeated_lines(lines: DataFrame, min_chars: int = MIN_CHARS, load: int = LOA
             "doc_id", "th", F.explode(F.sequence(F.lit(done).cast("long"), F.least(F.lit(upto), F.col("n")) - 1)).alias("k"), "start"
         )
         pairs = (
-            tried.select("doc_id", "th", (F.col("start") + F.col("k")).alias("number"))
-            .join(numbered, "number")
+            keyed_join(tried.select("doc_id", "th", (F.col("start") + F.col("k")).alias("at")), numbered, [("at", "number")], ["doc_id", "th"], "inner", salts=1)
             .filter("doc_id IS NULL OR doc_id > first")
             .select("first", "doc_id", "th")
             .distinct()

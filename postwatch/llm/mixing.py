@@ -17,6 +17,7 @@ own that are taken alike; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -76,35 +77,37 @@ def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """``(doc_id, th, source, size, u)``; ``u`` is the row's place in the permuted order."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, more: Sequence[Column] = ()) -> DataFrame:
+    """``(doc_id, th, source, size, u)`` and ``more``; ``u`` is the row's place in the permuted order."""
     th = text_hash(text_col)
     return docs.select(
         F.col(id_col).alias("doc_id"), th.alias("th"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), th).alias("u"),
+        F.xxhash64(F.lit(seed), F.col(id_col), th).alias("u"), *more,
     )
 
 
-def plan(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
+def blocked(rows: DataFrame, recipe: DataFrame) -> DataFrame:
+    """``rows`` with their source's recipe and their ``block``."""
+    return keyed_join(rows, recipe, [("source", "of")], ["doc_id", "th"]).withColumn(
+        "block", F.pmod("u", F.col("blocks").cast("long")).cast("int")
+    )
+
+
+def schedule(
+    rows: DataFrame,
     weights=WEIGHTS,
     share: float = SHARE,
     cap: float = CAP,
     shards: int = SHARDS,
     seed: int = SEED,
     block_words: int = BLOCK_WORDS,
-) -> DataFrame:
-    """``(doc_id, th, source, size, source_size, target, draws)`` of every row.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The recipe, each block's draws and the cuts, of the rows that ``sized`` gives.
 
-    ``draws`` has a struct ``(pass, shard, place)`` for each time that the mix takes the document;
-    ``place`` orders a shard.
+    What the mix takes of a row follows from these, its source and its ``u``: tables of sources and blocks, not of rows.
     """
-    spark = docs.sparkSession
-    rows = keep(sized(docs, id_col, text_col, source_col, seed), "sized")
+    spark = rows.sparkSession
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     goal = targets(sizes, weights, share, cap)
@@ -119,9 +122,7 @@ def plan(
         ),
         "recipe",
     )
-    placed = keyed_join(rows, recipe, [("source", "of")], ["doc_id", "th"]).withColumn(
-        "block", F.pmod("u", F.col("blocks").cast("long")).cast("int")
-    )
+    placed = blocked(rows, recipe)
     # One row per block; the last pass ends in the first block that reaches over the rest.
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     table = keep(
@@ -168,7 +169,13 @@ def plan(
         ))).alias("of_block")),
         "dealt",
     )
-    joined = keyed_join(placed, dealt, [("source", "ds"), ("block", "db")], ["doc_id", "th"])
+    return recipe, dealt, cut
+
+
+def drawn(rows: DataFrame, scheduled: tuple[DataFrame, DataFrame, DataFrame], seed: int = SEED) -> DataFrame:
+    """``rows (doc_id, th, source, u, ...)`` with ``source_size``, ``target`` and ``draws``."""
+    recipe, dealt, cut = scheduled
+    joined = keyed_join(blocked(rows, recipe), dealt, [("source", "ds"), ("block", "db")], ["doc_id", "th"])
     joined = keyed_join(joined, cut, [("source", "cs"), ("block", "cb")], ["doc_id", "th"])
     kept = F.filter("of_block", lambda d: ~d["part"] | F.coalesce(F.col("u") <= F.col("cut"), F.lit(False)))
     draws = F.transform(kept, lambda d: F.struct(
@@ -176,9 +183,19 @@ def plan(
         F.xxhash64(F.lit(seed), d["shard"], d["pass"], F.col("u")).alias("place"),
     ))
     none = F.array().cast("array<struct<pass:int,shard:int,place:bigint>>")
-    return joined.select(
-        "doc_id", "th", "source", "size", "source_size", "target", F.coalesce(draws, none).alias("draws")
-    )
+    return joined.select(*rows.columns, "source_size", "target", F.coalesce(draws, none).alias("draws"))
+
+
+def plan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options
+) -> DataFrame:
+    """``(doc_id, th, source, size, source_size, target, draws)`` of every row.
+
+    ``draws`` has a struct ``(pass, shard, place)`` for each time that the mix takes the document;
+    ``place`` orders a shard.  ``options`` are those of ``schedule``.
+    """
+    rows = keep(sized(docs, id_col, text_col, source_col, seed), "sized")
+    return drawn(rows, schedule(rows, seed=seed, **options), seed).drop("u")
 
 
 def taken() -> Column:
@@ -186,24 +203,22 @@ def taken() -> Column:
     return (F.col("size") * F.size("draws")).cast("long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options
+) -> DataFrame:
     """The mixed rows: the columns of ``docs``, ``pass``, ``shard`` and ``place``, a row per draw.
 
     The rows of a shard lie together, shuffled: in the order of their places, which are hashes of the seed, the draw and the row.
+    A row finds its draws by its source and block, so that nothing is joined by id.
     """
-    did, dth, th, draws, draw = fresh(docs, "_d_id", "_d_th", "_th", "_draws", "_draw")
     pass_, shard, place = fresh(docs, "pass", "shard", "place")
-    dealt = keep(
-        plan(docs, id_col, text_col, source_col, **options)
-        .groupBy(F.col("doc_id").alias(did), F.col("th").alias(dth), F.col("source").alias("_of"))
-        .agg(F.first("draws").alias(draws)),
-        "mix",
-    ).filter(F.size(draws) > 0)
-    of = fresh(docs, "_of_source")[0]
-    dealt = dealt.withColumnRenamed("_of", of)
-    rows = docs.withColumn(th, text_hash(text_col))
-    joined = keyed_join(rows, dealt, [(id_col, did), (th, dth), (source_col, of)], [id_col, th], "inner")
-    drawn = joined.withColumn(draw, F.explode(draws)).select(
-        *docs.columns, F.col(draw)["pass"].alias(pass_), F.col(draw)["shard"].alias(shard), F.col(draw)["place"].alias(place)
+    scheduled = schedule(keep(sized(docs, id_col, text_col, source_col, seed), "sized"), seed=seed, **options)
+    # Columns of docs by their places, as their names can be those of the plan.
+    own = [f"column_{i}" for i in range(len(docs.columns))]
+    keys = sized(docs, id_col, text_col, source_col, seed, [F.col(c).alias(o) for c, o in zip(docs.columns, own)]).drop("size")
+    draws = drawn(keys, scheduled, seed).select(*own, F.explode("draws").alias("draw"))
+    mixed = draws.select(
+        *[F.col(o).alias(c) for c, o in zip(docs.columns, own)],
+        F.col("draw.pass").alias(pass_), F.col("draw.shard").alias(shard), F.col("draw.place").alias(place),
     )
-    return drawn.repartition(shard).sortWithinPartitions(shard, place)
+    return mixed.repartition(shard).sortWithinPartitions(shard, place)

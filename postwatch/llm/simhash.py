@@ -200,7 +200,8 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     second = tiles.select(
         *[F.col(a).alias(b) for a, b in zip(left, right)], F.col("fps").alias("ofps"), F.col("firsts").alias("ofirsts")
     )
-    met = pairs.join(tiles, left).join(second, right).select("fps", "firsts", "ofps", "ofirsts")
+    # Pairs come of explodes, and Spark would take them for as small as the cells.
+    met = pairs.join(tiles.hint("merge"), left).join(second.hint("merge"), right).select("fps", "firsts", "ofps", "ofirsts")
 
     def outside(batches):
         def arrays(column):

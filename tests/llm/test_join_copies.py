@@ -2,7 +2,9 @@
 
 import pytest
 
-from postwatch.llm import common, decontaminate, registry
+from pyspark.sql import functions as F
+
+from postwatch.llm import common, decontaminate, linededup, mixing, registry, simhash
 from postwatch.session import keep
 
 
@@ -42,3 +44,39 @@ def test_hits_are_shuffled_without_copies(spark, shuffled):
     assert "Broadcast" not in plan and "_salt" not in plan
     rows = [(r["doc_id"], r["n_hit"], r["items"], r["near_items"]) for r in found.collect()]
     assert sorted(rows, key=str) == sorted(WANT, key=str)
+
+
+def test_the_mix_joins_tables_of_blocks_alone(spark, monkeypatch):
+    registry.ship(spark)
+    sizes, real = [], common.keyed_join
+    monkeypatch.setattr(mixing, "keyed_join", lambda rows, dictionary, *more: (sizes.append(dictionary.count()), real(rows, dictionary, *more))[1])
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b"), "id").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"), F.lit(7).alias("u")
+    )
+    mixed = mixing.mix(docs, block_words=500)
+    assert max(sizes) <= 100
+    # What a document's draws are, told by the plan, which sees the same rows.
+    draws = {r["doc_id"]: sorted(tuple(d) for d in r["draws"]) for r in mixing.plan(docs, block_words=500).collect()}
+    found = {i: [] for i in draws}
+    for r in mixed.collect():
+        assert r["u"] == 7
+        found[r["doc_id"]].append((r["pass"], r["shard"], r["place"]))
+    assert {i: sorted(x) for i, x in found.items()} == draws
+
+
+def test_pairs_of_tiles_are_not_broadcast(spark, shuffled):
+    fps = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    plan = plan_of(simhash.links(fps, tile=16))
+    assert plan.count("SortMergeJoin") == 2
+
+
+def test_tries_of_runs_are_not_broadcast(spark, shuffled, monkeypatch):
+    plans, real = [], linededup.keep
+    monkeypatch.setattr(linededup, "keep", lambda df, name: (plans.append(plan_of(df)) if name == "pairs" else None, real(df, name))[1])
+    long = [f"{c} " * 35 + "." for c in "PQ"]
+    docs = spark.createDataFrame([(d, "\n".join(long[::-1] if d % 2 else long) + f"\n{d}") for d in range(6)], "doc_id long, text string")
+    linededup.dedupe_lines(docs).collect()
+    assert len(plans) > 1
+    for plan in plans[1:]:
+        # One row per partition is broadcast for the numbers.
+        assert [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "_part" not in x] == []
