@@ -1,5 +1,7 @@
 """The language model learns from all of the training text."""
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -69,9 +71,14 @@ def test_steps_do_not_depend_on_how_rows_come():
 TEXTS = ["", None, " ".join(f"unheardof{i} strengthlessness the zq{i}" for i in range(50)), "one two", " ".join(["a"] * 64), "x" * 300]
 
 
+@functools.cache
+def known_leads() -> lmscore.Leads:
+    return lmscore.Leads(open(lmscore.VOCABULARY, "rb").read())
+
+
 def ids_of(texts: list) -> list[list[int]]:
     """All subwords of each text, the end behind them."""
-    leads = lmscore.Leads(open(lmscore.VOCABULARY, "rb").read())
+    leads = known_leads()
     return [[i for w in (t or "").split() for i in leads.encoder.encode_ordinary(f" {w}")] + [len(leads.leading)] for t in texts]
 
 
