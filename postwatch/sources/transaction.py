@@ -33,6 +33,8 @@ FORMAT = "published_files"
 STORE = "store"
 #: Seconds after which files of a write that was never published are taken for left ones.
 ORPHANS_AFTER = 86_400.0
+#: How often an aborted write looks for files to remove, a tenth of a second apart.
+ABORT_LOOKS = 20
 
 
 def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -85,8 +87,15 @@ class _Writer(DataSourceArrowWriter):
     def abort(self, messages: list) -> None:
         system, root = opened(self.folder)
         left = f"{root}/data/{self.run}"
-        if system.get_file_info(left).type != pyarrow.fs.FileType.NotFound:
-            system.delete_dir(left)
+        # Tasks that are being stopped may go on writing for a moment.
+        for look in range(ABORT_LOOKS):
+            try:
+                if system.get_file_info(left).type != pyarrow.fs.FileType.NotFound:
+                    system.delete_dir(left)
+            except OSError:
+                if look + 1 == ABORT_LOOKS:
+                    raise
+            time.sleep(0.1)
 
 
 class PublishedFiles(DataSource):
